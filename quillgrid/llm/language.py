@@ -1,8 +1,8 @@
 """Language identification of mixed texts.
 
 The script of a word (ranges of code points) narrows the languages to those that were learned in that
-script.  Each word gets a score for each language from the frequencies of its letter groups (one to
-four letters, with marks for its start and end) and of the word itself; Viterbi then finds the best
+script.  Each word gets a score for each language from the frequencies of its letter groups (two and
+three letters, with marks for its start and end) and of the word itself; Viterbi then finds the best
 sequence of languages under a penalty for each switch.  Runs of one language are the spans; the
 language with most words is the text's.
 
@@ -45,8 +45,8 @@ def script(word: str) -> str:
 def grams(word: str) -> list[str]:
     """Letter groups of a word with its ends marked, and the word itself."""
     w = f"<{word}>"
-    out = [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    out.extend(word)
+    out = [w[i : i + 3] for i in range(len(w) - 2)]
+    out += [w[i : i + 2] for i in range(len(w) - 1)]
     out.append("=" + word)
     return out
 
@@ -54,16 +54,24 @@ def grams(word: str) -> list[str]:
 class LanguageModel:
     """Scores of words by language and the best spans of a text."""
 
-    def __init__(self, langs: list[str], scores: dict[str, np.ndarray], scripts: dict[str, np.ndarray]):
-        self.langs, self.scores, self.scripts = langs, scores, scripts
-        self.unknown = np.zeros(len(langs))
-
-    def word(self, word: str) -> np.ndarray:
-        """Score for each language: mean over the known letter groups, less where the script rules a language out."""
-        found = [s for s in map(self.scores.get, grams(word)) if s is not None]
-        out = WEIGHT * np.mean(found, axis=0) if found else self.unknown
-        fits = self.scripts.get(script(word))
-        return out if fits is None else out + np.where(fits, 0.0, -50.0)
+    def __init__(self, langs: list[str], index: dict[str, int], scores: np.ndarray, scripts: dict[str, np.ndarray]):
+        self.langs, self.index, self.scripts = langs, index, scripts
+        self.scores = scores  # a row for each known group
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: mean over its known letter groups, less where the script rules a language out."""
+        get = self.index.get
+        ids = [[i for i in map(get, grams(w)) if i is not None] for w in words]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
+        ends = np.cumsum(np.concatenate([np.zeros((1, len(self.langs))), self.scores[flat]]), axis=0)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        out = WEIGHT * (ends[at[1:]] - ends[at[:-1]]) / np.maximum(sizes, 1)[:, None]
+        for i, w in enumerate(words):
+            fits = self.scripts.get(script(w))
+            if fits is None or not fits.all():
+                out[i] += 0.0 if fits is None else np.where(fits, 0.0, -50.0)
+        return out
 
     def paths(self, rows: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarray]:
         """Best language of each word for each array of word scores, all texts step by step together."""
@@ -106,22 +114,24 @@ class Labeller:
     def __init__(self, model: LanguageModel):
         self.model, self.rows, self.table = model, {}, np.zeros((1 << 12, len(model.langs)), np.float32)
 
-    def _row(self, word: str) -> int:
-        i = self.rows.get(word)
-        if i is None:
-            i = len(self.rows)
-            if i == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[i] = self.model.word(word)
-            self.rows[word] = i
-        return i
+    def _learn(self, words: list[str]) -> None:
+        n = len(self.rows)
+        if n + len(words) > len(self.table):
+            grown = np.zeros((max(2 * len(self.table), n + len(words)), self.table.shape[1]), np.float32)
+            grown[:n] = self.table[:n]
+            self.table = grown
+        self.table[n : n + len(words)] = self.model.word_scores(words)
+        self.rows.update(zip(words, range(n, n + len(words))))
 
     def label(self, texts: list[str | None], penalty: float = PENALTY) -> list[tuple[list[str], np.ndarray]]:
         """Words and best language index of each, for every text."""
         if len(self.rows) > CACHED_WORDS:
             self.rows.clear()
         words = [WORD.findall((t or "").lower()) for t in texts]
-        ids = [np.fromiter(map(self._row, w), np.int64, len(w)) for w in words]
+        new = set().union(*words).difference(self.rows)
+        if new:
+            self._learn(list(new))
+        ids = [np.fromiter(map(self.rows.__getitem__, w), np.int64, len(w)) for w in words]
         return list(zip(words, self.model.paths([self.table[i] for i in ids], penalty)))
 
     def document(self, words: list[str], path: np.ndarray) -> tuple[str, float]:
@@ -168,9 +178,9 @@ def learn(documents: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     is_script = top["gram"].str.startswith("#").to_numpy(bool) & (top["gram"].str.len() > 1).to_numpy(bool)
     p = (n + 0.5) / (n[~is_script].sum(0) + 0.5 * max((~is_script).sum(), 1))
     logs = np.log(p) - np.log(p).max(1, initial=-99, keepdims=True) if len(langs) else p
-    scores = {g: np.maximum(s, -6.0) for g, s, x in zip(top["gram"], logs, is_script) if not x}
+    index = {g: i for i, g in enumerate(top["gram"][~is_script])}
     scripts = {g[1:]: v / max(v.sum(), 1) > 1e-3 for g, v, x in zip(top["gram"], n, is_script) if x and v.sum() >= 20}
-    return LanguageModel(langs, scores, scripts)
+    return LanguageModel(langs, index, np.maximum(logs[~is_script], -6.0), scripts)
 
 
 def with_language(documents: DataFrame, model: LanguageModel, text_col: str = "text", batch: int = 256) -> DataFrame:

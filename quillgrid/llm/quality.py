@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .common import held_out, table
 from .labelled import TRAIN_ROWS, training_ids, training_rows
@@ -156,7 +157,7 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-f))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _features(texts: pd.Series) -> pd.Series:
     return texts.map(features)
 

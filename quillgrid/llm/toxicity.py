@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import held_out, table
 from .labelled import TRAIN_ROWS, training_ids, training_rows
@@ -42,7 +43,7 @@ def terms(text: str) -> set[int]:
     return {t for w in set(WORD.findall(text.lower())) for t in word_terms(w)}
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _terms(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: np.fromiter(sorted(terms(t)), np.int32))
 
