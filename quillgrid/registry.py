@@ -1,17 +1,80 @@
-"""All queries of the library with their DuckDB oracles, by name."""
+"""All queries of the library with their DuckDB oracles, by name.
+
+Modules of ``quillgrid.plans`` register here: ``scalar`` for an expression over one relation, ``query``
+for anything else.  Each names the inventory entries that it covers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from .plans.relations import RELATIONS, cte, relation
 
 FLAGSHIP = "text_to_cell_html"
+MODULES = ("projections", "filters")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
+COVERAGE: dict[str, list[str]] = {}
+_loaded = False
+
+
+def _cover(name: str, ids: str) -> None:
+    if name in _QUERIES:
+        raise ValueError(f"two queries are named {name}")
+    for i in ids.split():
+        kind, _, span = i.partition("-")
+        first, _, last = span.partition("..")
+        for n in range(int(first), int(last or first) + 1):
+            COVERAGE.setdefault(f"{kind}-{n:02d}", []).append(name)
+
+
+def scalar(name: str, ids: str, base: str, keys: str, column: Callable[[], Column | dict], sql: str | dict) -> None:
+    """``column()`` over the relation ``base`` beside its ``keys``; ``sql``: the same for the oracle (a dict gives several columns)."""
+    _cover(name, ids)
+    names = keys.split()
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = column()
+        c = c if isinstance(c, dict) else {"v": c}
+        return relation(spark, sf_dir, base).select(*names, *[v.alias(k) for k, v in c.items()])
+
+    _QUERIES[name] = run
+    sql = sql if isinstance(sql, dict) else {"v": sql}
+    head = cte(base) if base in RELATIONS else ""
+    _SQL[name] = head + f"SELECT {', '.join(names)}, " + ", ".join(f"{v} AS {k}" for k, v in sql.items()) + f" FROM {base}"
+
+
+def query(name: str, ids: str, sql: str | None = None, uses: str = "") -> Callable:
+    """Decorator for (spark, sf_dir) -> DataFrame; ``sql`` may use the relations named in ``uses``."""
+
+    def add(f: Callable) -> Callable:
+        _cover(name, ids)
+        _QUERIES[name] = f
+        if sql:
+            head = cte(*uses.split()) if uses else ""
+            body = sql.strip()
+            _SQL[name] = head.rstrip() + ",\n" + body[5:] if head and body.upper().startswith("WITH ") else head + body
+        return f
+
+    return add
+
+
+def load() -> None:
+    global _loaded
+    if not _loaded:
+        _loaded = True
+        for m in MODULES:
+            import_module(f"quillgrid.plans.{m}")
 
 
 def queries() -> dict[str, Callable]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _SQL
