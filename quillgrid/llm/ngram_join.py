@@ -1,7 +1,8 @@
 """N-gram Jaccard join by vertical partitioning, and the groups of documents that its links join.
 
 A document's set holds its distinct runs of five words.  All n-grams stand in one global order, rare
-before frequent (a count sketch over all documents, of fixed size) and by hash within.  The order is
+before frequent (by their rarest word's count in a sketch over all documents, of fixed size) and by
+hash within.  The order is
 cut into fragments: each set falls into one segment for each fragment, the overlap of two documents is
 counted segment by segment, and the partial counts are summed for each pair.
 
@@ -33,11 +34,11 @@ from .common import materialise, table
 from .components import components
 
 WORDS, NUM, DEN = 5, 80, 100  # links: DEN * overlap >= NUM * union
-FRAGMENT_BITS, HASH_BITS, LEVELS = 4, 44, 16
+FRAGMENT_BITS, HASH_BITS, LEVELS = 2, 44, 16
 SKETCH_BITS, SKETCH_CHUNKS = 19, 8
 HOT, STAR_ROUNDS, MAX_SPREAD, CHUNK = 16, 8, 4, 256
 BROADCAST_IDS = 500_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -62,34 +63,39 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of five words; of the whole sequence if it is shorter."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words (A-Z lower-cased, split at ASCII white space)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+
+def run_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of five words, in text order; of the whole sequence if it is shorter."""
+    if not len(h):
+        return h
     n = min(WORDS, len(h))
     acc = np.full(len(h) - n + 1, n, np.uint64)
     for j in range(n):
         acc = _mix(acc ^ h[j : len(h) - n + 1 + j]) + np.uint64(j)
-    return np.unique(acc)
+    return acc
 
 
-def _slots(s: np.ndarray) -> np.ndarray:
-    """Places of n-grams in the two rows of the count sketch."""
+def _slots(h: np.ndarray) -> np.ndarray:
+    """Places of words in the two rows of the count sketch."""
     width = np.uint64((1 << SKETCH_BITS) - 1)
-    return np.concatenate([(s & width).astype(np.int64), ((s >> np.uint64(22)) & width).astype(np.int64) + (1 << SKETCH_BITS)])
+    return np.concatenate([(h & width).astype(np.int64), ((h >> np.uint64(22)) & width).astype(np.int64) + (1 << SKETCH_BITS)])
 
 
 def frequency_sketch(documents: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of all documents' n-grams by slot: an array of fixed size, whatever the corpus."""
+    """In how many documents the words of each slot stand: an array of fixed size, whatever the corpus."""
     size = (2 << SKETCH_BITS) // SKETCH_CHUNKS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(2 << SKETCH_BITS, np.int64)
         for pdf in batches:
-            for text in pdf["text"]:
-                np.add.at(total, _slots(shingles(text)), 1)
+            for at in range(0, len(pdf), 256):
+                part = [np.unique(word_hashes(t)) for t in pdf["text"].iloc[at : at + 256]]
+                np.add.at(total, _slots(np.concatenate(part)), 1)
         for i in range(SKETCH_CHUNKS):
             yield pd.DataFrame({"chunk": [i], "counts": [zlib.compress(total[i * size : (i + 1) * size].astype("<u4").tobytes(), 1)]})
 
@@ -110,18 +116,21 @@ def frequency_sketch(documents: DataFrame, text_col: str = "text") -> np.ndarray
 
 
 def frequency_levels(counts: np.ndarray) -> np.ndarray:
-    """Level of rarity of each slot: 0 for what any slot holds by chance, then one more for each factor of two."""
-    mean = counts.mean() if len(counts) else 0.0
-    excess = counts - (mean + 4 * np.sqrt(mean) + 8)
-    return np.clip(np.ceil(np.log2(np.maximum(excess, 0.5))) - 2, 0, LEVELS - 1).astype(np.uint8)
+    """Level of frequency of each slot: 0 for what rare words fill by chance, then one more for each factor of about three."""
+    usual = np.median(counts) if len(counts) else 0.0
+    excess = counts - (usual + 4 * np.sqrt(usual) + 4)
+    return np.clip(np.ceil(np.log2(np.maximum(excess, 0.5) + 1) / 1.7), 0, LEVELS - 1).astype(np.uint8) * (excess > 0)
 
 
-def in_order(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Places of a set's n-grams in the global order, ascending: level above hash."""
+def in_order(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Places of a text's n-grams in the global order, ascending and distinct: frequency of the rarest word above hash."""
+    s = run_hashes(h)
     if not len(s):
         return s
-    slots = levels[_slots(s)]
-    level = np.minimum(slots[: len(s)], slots[len(s) :]).astype(np.uint64)
+    slots = levels[_slots(h)]
+    word = np.minimum(slots[: len(h)], slots[len(h) :])
+    n = min(WORDS, len(h))
+    level = np.minimum.reduce([word[j : len(h) - n + 1 + j] for j in range(n)]).astype(np.uint64)
     return np.unique((level << np.uint64(HASH_BITS)) | (s >> np.uint64(64 - HASH_BITS)))
 
 
@@ -140,10 +149,11 @@ def _describe(documents: DataFrame, levels, id_col: str, text_col: str) -> DataF
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                s = shingles(text)
+                h = word_hashes(text)
+                s = np.unique(run_hashes(h))
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 d1, d2 = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
-                o = in_order(s, lv)
+                o = in_order(h, lv)
                 rows.append((len(s), d1, d2, len(o), o[: len(o) - least_overlap(len(o)) + 1].astype(np.int64) if len(o) else o.astype(np.int64)))
             out = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "n", "prefix"])
             out.insert(0, "id", pdf["id"].to_numpy())
@@ -156,8 +166,8 @@ def _describe(documents: DataFrame, levels, id_col: str, text_col: str) -> DataF
 def _fragments(documents: DataFrame, levels, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, f, n, seg: the segments of the wanted documents' sets.
 
-    The order's lowest level, which holds most n-grams, is cut by hash; each higher level is a fragment.
-    Within a fragment 32 bits tell n-grams apart beside its number.
+    The order's lowest level, which holds most n-grams, is cut by hash; the levels above make fragments of
+    four levels each.  Within a fragment 32 bits tell n-grams apart beside its number.
     """
     k = 1 << FRAGMENT_BITS
 
@@ -166,9 +176,9 @@ def _fragments(documents: DataFrame, levels, wanted: DataFrame, id_col: str, tex
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["id"].tolist(), pdf["text"]):
-                o = in_order(shingles(text), lv)
+                o = in_order(word_hashes(text), lv)
                 level = (o >> np.uint64(HASH_BITS)).astype(np.int64)
-                f = np.where(level > 0, k - 1 + level, (o >> np.uint64(HASH_BITS - FRAGMENT_BITS)).astype(np.int64) & (k - 1))
+                f = np.where(level > 0, k + (level - 1) // 4, (o >> np.uint64(HASH_BITS - FRAGMENT_BITS)).astype(np.int64) & (k - 1))
                 low = (o & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 cuts = [0, *(np.flatnonzero(np.diff(f)) + 1).tolist(), len(f)]
                 rows.extend((i, int(f[a]), len(o), low[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b)
@@ -202,6 +212,21 @@ def _prefix_size(n):
     return n - F.ceil(n * NUM / DEN) + 1
 
 
+def _need(n1, n2):
+    """Overlap of two sets of these sizes that link."""
+    return F.ceil((n1 + n2) * NUM / (NUM + DEN))
+
+
+def _likely(star: DataFrame) -> DataFrame:
+    """Pairs of a centre and a holder that meet often enough for a link.
+
+    What this passes over (as its n-grams have other centres) is left to the comparison of all holders.
+    """
+    n1, n2 = F.col("n1"), F.col("n2")
+    c = star.groupBy(F.col("centre.rep").alias("a"), F.col("rep").alias("b"), F.col("centre.n").alias("n1"), F.col("n").alias("n2")).agg(F.count("*").alias("c"))
+    return c.filter(F.col("c") + F.greatest(n1 - _prefix_size(n1), n2 - _prefix_size(n2)) >= _need(n1, n2)).select("a", "b").distinct()
+
+
 def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row of ``documents``."""
     spark = documents.sparkSession
@@ -221,7 +246,7 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     near = lambda n, m: (F.least(n, m) * DEN >= F.greatest(n, m) * NUM)
     star = shared.filter((F.col("m") > HOT) & (F.col("rep") > F.col("centre.rep")) & near(F.col("n"), F.col("centre.n")))
-    pairs = materialise(star.select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    pairs = materialise(_likely(star), "pairs")
     tried = [pairs]
     links = [split_ids, _links(pairs, documents, levels, id_col, text_col)] if pairs.limit(1).count() else [split_ids]
     links = [materialise(x, "found") for x in links]
@@ -245,7 +270,7 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         key = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "comp")
         again = postings_open.withColumns({"m": F.count("*").over(w2), "centre": F.min(key).over(w2)})
         again = again.filter((F.col("m") > HOT) & (F.col("comp") != F.col("centre.comp")) & near(F.col("n"), F.col("centre.n")))
-        new = again.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
+        new = _likely(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for t in tried:
             new = new.join(t, ["a", "b"], "left_anti")
         new = materialise(new, "pairs")
@@ -265,7 +290,7 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = cross.groupBy(F.col("rep1").alias("a"), F.col("rep2").alias("b"), "n1", "n2").agg(
         F.count("*").alias("c"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2")
     )
-    need = F.ceil((F.col("n1") + F.col("n2")) * NUM / (NUM + DEN))
+    need = _need(F.col("n1"), F.col("n2"))
     after_last = F.col("c") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     beyond = F.col("c") + F.greatest(F.col("n1") - _prefix_size(F.col("n1")), F.col("n2") - _prefix_size(F.col("n2")))
     rest = counted.filter((after_last >= need) & (beyond >= need)).select("a", "b").distinct()
