@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, table
 
 WIDTH, SEGMENT, END_ID, DIRECTORY = 8, 1 << 20, 0, 512
-CACHED = 400_000
+CACHED = 100_000
 BROADCAST_SEGMENTS = 200_000
 MAGIC = b"DAC1"
 
@@ -37,6 +37,24 @@ class Unsplittable(Exception):
     """A piece that may not be encoded apart from its neighbours."""
 
 
+class Recent(dict):
+    """Keeps the last ``CACHED`` values made and, a generation older, as many again: the frequent stay."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
 class Encoder:
     """Ids of texts by a byte-level tokenizer, with the pieces between spaces kept once they are encoded.
 
@@ -52,32 +70,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pattern = regex.compile(PATTERN)
-        outer = self
-
-        class Tokens(dict):
-            def __missing__(self, token):
-                if len(self) >= CACHED:
-                    self.clear()
-                out = self[token] = np.array(outer.tokenizer.encode(token, add_special_tokens=False).ids, "<u4").tobytes()
-                return out
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                if not piece or piece[0].isspace():
-                    raise Unsplittable
-                if len(self) >= CACHED:
-                    self.clear()
-                if piece.isalpha():
-                    out = tokens[" " + piece]
-                elif piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-                    out = tokens[" " + piece[:-1]] + tokens[piece[-1]]
-                else:
-                    out = b"".join(map(tokens.__getitem__, outer.pattern.findall(" " + piece)))
-                self[piece] = out
-                return out
-
-        tokens = Tokens()
-        self.pieces = Pieces()
+        self.tokens, self.pieces = Recent(self.whole), Recent(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece with the space before it."""
+        if not piece or piece[0].isspace():
+            raise Unsplittable
+        if piece.isalpha():
+            return self.tokens[" " + piece]
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return self.tokens[" " + piece[:-1]] + self.tokens[piece[-1]]
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(" " + piece)))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
