@@ -92,13 +92,10 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     rare = hint(chosen.unionByName(mark))
     n = F.size("ws")
     pos = docs.select("row", "id", "ws", F.posexplode(F.concat(F.col("ws"), F.array(F.lit("")))).alias("pos", "x"))
-    tok = F.when(F.col("pos") == n, F.lit(0).cast("long")).otherwise(_pair(F.col("x"), F.get("ws", F.col("pos") + 1)))
-    token = pos.select("row", "id", "ws", "pos", tok.alias("tok"))
-    if single:
-        one = docs.select("row", "id", "ws", F.posexplode("ws").alias("pos", "x"))
-        token = token.unionByName(
-            one.filter(F.col("pos") < n - 1).select("row", "id", "ws", "pos", _pair(F.col("x"), F.lit(None).cast("string")).alias("tok"))
-        )
+    # the words stay a reference inside the fused stage from here to the comparison: no operator may stand between
+    pair = F.when(F.col("pos") == n, F.lit(0).cast("long")).otherwise(_pair(F.col("x"), F.get("ws", F.col("pos") + 1)))
+    alone = F.when(F.col("pos") < n - 1, _pair(F.col("x"), F.lit(None).cast("string")))  # the last word's pair is that already
+    token = pos.select("row", "id", "ws", "pos", (F.explode(F.array(pair, alone)) if single else pair).alias("tok"))
     start = F.col("pos") - F.col("off")
     fits = F.when(F.col("len") == 0, F.col("pos") == n).otherwise(
         (start >= 0) & (start + F.col("len") <= n) & (F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("w"))

@@ -128,6 +128,8 @@ class Labeller:
         if len(self.rows) > CACHED_WORDS:
             self.rows.clear()
         words = [WORD.findall((t or "").lower()) for t in texts]
+        if not self.model.langs:
+            return [(w, np.zeros(0, np.int8)) for w in words]
         new = set().union(*words).difference(self.rows)
         if new:
             self._learn(list(new))
@@ -144,6 +146,8 @@ class Labeller:
 
 def spans(words: list[str], path: np.ndarray, langs: list[str]) -> list[tuple[int, int, str]]:
     """Runs of one language: first word, word after the last, language."""
+    if not len(path):
+        return []
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
     return [(a, b, langs[path[a]]) for a, b in zip(cuts, cuts[1:]) if a < b]
 
@@ -174,6 +178,8 @@ def learn(documents: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
         .filter((F.col("n") >= MIN_COUNT) | F.col("gram").startswith("#")).orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).toPandas()
     )
     langs = sorted({lang for by in top["by"] for lang in by})
+    if not langs:
+        return LanguageModel([], {}, np.zeros((0, 0)), {})
     n = np.array([[by.get(lang, 0) for lang in langs] for by in top["by"]], dtype=np.float64).reshape(-1, len(langs))
     is_script = top["gram"].str.startswith("#").to_numpy(bool) & (top["gram"].str.len() > 1).to_numpy(bool)
     p = (n + 0.5) / (n[~is_script].sum(0) + 0.5 * max((~is_script).sum(), 1))
