@@ -8,8 +8,8 @@ counted segment by segment, and the partial counts are summed for each pair.
 
 Which pairs are counted: equal sets are one class and go on as one representative.  Two sets of
 Jaccard 0.8 share an n-gram of their prefixes (the rarest fifth of each and one more), so only the
-n-grams that several prefixes hold matter.  For those held by many, one holder is the centre and the
-others are compared with it alone; found links make components, and what is left are pairs of holders
+n-grams that several prefixes hold matter.  For those held by many, a few holders are centres and the
+others are compared with these alone; found links make components, and what is left are pairs of holders
 in different components, which are compared all, after bounds on their sizes, the places of their
 common n-grams and the number of these.  If those are still too many, more rounds with other centres
 come first.  So no link between components is lost, and copies of one text cost a row each, not a pair
@@ -36,7 +36,7 @@ from .components import components
 WORDS, NUM, DEN = 5, 80, 100  # links: DEN * overlap >= NUM * union
 FRAGMENT_BITS, HASH_BITS, LEVELS = 2, 44, 16
 SKETCH_BITS, SKETCH_CHUNKS = 19, 8
-HOT, STAR_ROUNDS, MAX_SPREAD, CHUNK = 16, 8, 4, 256
+HOT, STAR_ROUNDS, CENTRES, MAX_SPREAD, CHUNK = 16, 4, 8, 4, 256
 BROADCAST_IDS = 500_000
 CACHED_WORDS = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -217,13 +217,17 @@ def _need(n1, n2):
     return F.ceil((n1 + n2) * NUM / (NUM + DEN))
 
 
-def _likely(star: DataFrame) -> DataFrame:
-    """Pairs of a centre and a holder that meet often enough for a link.
+def _likely(stars: DataFrame) -> DataFrame:
+    """Pairs of a centre and a holder that meet often enough for a link, the smaller id first.
 
     What this passes over (as its n-grams have other centres) is left to the comparison of all holders.
     """
+    first = F.col("rep") < F.col("centre.rep")
+    pick = lambda x, y: F.when(first, x).otherwise(y)
+    rep, n, crep, cn = F.col("rep"), F.col("n"), F.col("centre.rep"), F.col("centre.n")
+    c = stars.select(pick(rep, crep).alias("a"), pick(crep, rep).alias("b"), pick(n, cn).alias("n1"), pick(cn, n).alias("n2"))
+    c = c.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"))
     n1, n2 = F.col("n1"), F.col("n2")
-    c = star.groupBy(F.col("centre.rep").alias("a"), F.col("rep").alias("b"), F.col("centre.n").alias("n1"), F.col("n").alias("n2")).agg(F.count("*").alias("c"))
     return c.filter(F.col("c") + F.greatest(n1 - _prefix_size(n1), n2 - _prefix_size(n2)) >= _need(n1, n2)).select("a", "b").distinct()
 
 
@@ -241,36 +245,28 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = full.join(member.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("rep"), "n", "prefix")
     post = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "tok"))
     w = Window.partitionBy("tok")
-    shared = post.withColumns({"m": F.count("*").over(w), "centre": F.min(F.struct("rep", "n")).over(w)}).filter("m > 1")
-    shared = materialise(shared.select("tok", "rep", "n", (F.col("pos") + 1).alias("pos"), "m", "centre"), "postings")
+    shared = post.withColumn("m", F.count("*").over(w)).filter("m > 1").select("tok", "rep", "n", (F.col("pos") + 1).alias("pos"))
+    postings_open = materialise(shared.withColumn("comp", F.col("rep")), "postings")
 
     near = lambda n, m: (F.least(n, m) * DEN >= F.greatest(n, m) * NUM)
-    star = shared.filter((F.col("m") > HOT) & (F.col("rep") > F.col("centre.rep")) & near(F.col("n"), F.col("centre.n")))
-    pairs = materialise(_likely(star), "pairs")
-    tried = [pairs]
-    links = [split_ids, _links(pairs, documents, levels, id_col, text_col)] if pairs.limit(1).count() else [split_ids]
-    links = [materialise(x, "found") for x in links]
     union = lambda xs: reduce(DataFrame.unionByName, xs)
-    comps = components(union(links))
-    postings = shared.drop("centre", "m")
+    tried: list[DataFrame] = []
+    links = [materialise(split_ids, "found")]
+    comps = components(links[0]) if links[0].limit(1).count() else links[0].select(F.col("a").alias("node"), F.col("b").alias("comp"))
     for turn in range(STAR_ROUNDS + 1):
-        labelled = _label(postings, comps)
-        w2 = Window.partitionBy("tok")
-        open_ = labelled.withColumns({"lo": F.min("comp").over(w2), "hi": F.max("comp").over(w2)}).filter("lo < hi").drop("lo", "hi")
-        postings_open = materialise(open_, "open")
-        spread = (
-            postings_open.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
-            .agg(F.sum(F.col("m") * F.col("m") - F.col("s")), F.sum("m")).first()
-        )
-        if not spread[0]:
+        size = postings_open.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        pairs, held = size.agg(F.sum(F.col("m") * F.col("m") - F.col("s")), F.sum("m")).first()
+        if not pairs:
             return _result(member, comps)
-        if spread[0] / 2 <= MAX_SPREAD * spread[1] + 100_000 or turn == STAR_ROUNDS:
+        if pairs / 2 <= MAX_SPREAD * held + 50_000 or turn == STAR_ROUNDS:
             break
-        # other centres: the first in an order that changes with each round
-        key = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "comp")
-        again = postings_open.withColumns({"m": F.count("*").over(w2), "centre": F.min(key).over(w2)})
-        again = again.filter((F.col("m") > HOT) & (F.col("comp") != F.col("centre.comp")) & near(F.col("n"), F.col("centre.n")))
-        new = _likely(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # centres: the first holders in several orders, which change with each round
+        key = lambda k: F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "rep").alias("h"), "rep", "n", "comp")  # noqa: E731, B023
+        centres = F.array_distinct(F.array(*[F.min(key(k)).over(w) for k in range(CENTRES)]))
+        stars = postings_open.withColumns({"m": F.count("*").over(w), "centres": centres}).filter(F.col("m") > HOT)
+        stars = stars.select("rep", "n", "comp", F.explode("centres").alias("centre"))
+        stars = stars.filter((F.col("comp") != F.col("centre.comp")) & near(F.col("n"), F.col("centre.n")))
+        new = _likely(stars)
         for t in tried:
             new = new.join(t, ["a", "b"], "left_anti")
         new = materialise(new, "pairs")
@@ -278,7 +274,9 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         if new.limit(1).count():
             links.append(materialise(_links(new, documents, levels, id_col, text_col), "found"))
             comps = components(union(links))
-        postings = postings_open.drop("comp")
+        labelled = _label(postings_open.drop("comp"), comps)
+        postings_open = labelled.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).filter("lo < hi").drop("lo", "hi")
+        postings_open = materialise(postings_open, "open")
     # every pair of holders in different components: first the components that meet at an n-gram, then their holders
     meet = postings_open.select("tok", "comp").distinct()
     meet = meet.select("tok", F.col("comp").alias("comp1")).join(meet.select("tok", F.col("comp").alias("comp2")), "tok").filter("comp1 < comp2")
