@@ -11,7 +11,7 @@ Jaccard 0.8 share an n-gram of their prefixes (the rarest fifth of each and one
 n-grams that several prefixes hold matter.  For those held by many, a few holders are centres and the
 others are compared with these alone; found links make components, and what is left are pairs of holders
 in different components, which are compared all, after bounds on their sizes, the places of their
-common n-grams and the number of these.  If those are still too many, more rounds with other centres
+first common n-gram and the number of common ones.  If those are still too many, more rounds with other centres
 come first.  So no link between components is lost, and copies of one text cost a row each, not a pair
 each.
 
@@ -217,17 +217,32 @@ def _need(n1, n2):
     return F.ceil((n1 + n2) * NUM / (NUM + DEN))
 
 
-def _likely(stars: DataFrame) -> DataFrame:
-    """Pairs of a centre and a holder that meet often enough for a link, the smaller id first.
+def _early(n, other):
+    """Places of a set's n-grams among which its first common one with a set of size ``other`` must be."""
+    return n - _need(n, other) + 1
 
-    What this passes over (as its n-grams have other centres) is left to the comparison of all holders.
+
+def _live(postings: DataFrame) -> DataFrame:
+    """The postings that can be a pair's first common n-gram, of n-grams where two components meet.
+
+    The smaller set of a pair has its first common n-gram within the places for a partner of its own size;
+    the larger one within those for the smallest partner that there is.
     """
-    first = F.col("rep") < F.col("centre.rep")
-    pick = lambda x, y: F.when(first, x).otherwise(y)
-    rep, n, crep, cn = F.col("rep"), F.col("n"), F.col("centre.rep"), F.col("centre.n")
-    c = stars.select(pick(rep, crep).alias("a"), pick(crep, rep).alias("b"), pick(n, cn).alias("n1"), pick(cn, n).alias("n2"))
-    c = c.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("tok")
+    n = F.col("n")
+    inner = F.col("pos") <= _early(n, n)
+    least = F.greatest(F.min(F.when(inner, n)).over(w), F.ceil(n * NUM / DEN))
+    live = postings.withColumn("least", least).filter(F.col("pos") <= _early(n, F.least("least", n))).drop("least")
+    met = live.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)})
+    return met.filter("lo < hi").drop("lo", "hi")
+
+
+def _promising(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Pairs (a, b, n1, n2) that share enough of their prefixes to link at all: what lies beyond the shorter reach is all they could add."""
+    own = postings.select("tok", "rep")
+    shared = pairs.join(own.withColumnRenamed("rep", "a"), "a").join(own.withColumnRenamed("rep", "b"), ["b", "tok"])
     n1, n2 = F.col("n1"), F.col("n2")
+    c = shared.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"))
     return c.filter(F.col("c") + F.greatest(n1 - _prefix_size(n1), n2 - _prefix_size(n2)) >= _need(n1, n2)).select("a", "b").distinct()
 
 
@@ -246,15 +261,32 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     post = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "tok"))
     w = Window.partitionBy("tok")
     shared = post.withColumn("m", F.count("*").over(w)).filter("m > 1").select("tok", "rep", "n", (F.col("pos") + 1).alias("pos"))
-    postings_open = materialise(shared.withColumn("comp", F.col("rep")), "postings")
+    postings = materialise(shared.withColumn("comp", F.col("rep")), "postings")
 
     near = lambda n, m: (F.least(n, m) * DEN >= F.greatest(n, m) * NUM)
     union = lambda xs: reduce(DataFrame.unionByName, xs)
     tried: list[DataFrame] = []
     links = [materialise(split_ids, "found")]
     comps = components(links[0]) if links[0].limit(1).count() else links[0].select(F.col("a").alias("node"), F.col("b").alias("comp"))
+
+    def test(pairs: DataFrame) -> bool:
+        """Compare the pairs that no round has compared yet; False if there are none."""
+        nonlocal comps
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        pairs = materialise(_promising(pairs, postings), "pairs")
+        tried.append(pairs)
+        if not pairs.limit(1).count():
+            return False
+        found = materialise(_links(pairs, documents, levels, id_col, text_col), "found")
+        if found.limit(1).count():
+            links.append(found)
+            comps = components(union(links))
+        return True
+
+    live = materialise(_live(postings), "live")
     for turn in range(STAR_ROUNDS + 1):
-        size = postings_open.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        size = live.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
         pairs, held = size.agg(F.sum(F.col("m") * F.col("m") - F.col("s")), F.sum("m")).first()
         if not pairs:
             return _result(member, comps)
@@ -263,44 +295,28 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         # centres: the first holders in several orders, which change with each round
         key = lambda k: F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "rep").alias("h"), "rep", "n", "comp")  # noqa: E731, B023
         centres = F.array_distinct(F.array(*[F.min(key(k)).over(w) for k in range(CENTRES)]))
-        stars = postings_open.withColumns({"m": F.count("*").over(w), "centres": centres}).filter(F.col("m") > HOT)
-        stars = stars.select("rep", "n", "comp", F.explode("centres").alias("centre"))
-        stars = stars.filter((F.col("comp") != F.col("centre.comp")) & near(F.col("n"), F.col("centre.n")))
-        new = _likely(stars)
-        for t in tried:
-            new = new.join(t, ["a", "b"], "left_anti")
-        new = materialise(new, "pairs")
-        tried.append(new)
-        if new.limit(1).count():
-            links.append(materialise(_links(new, documents, levels, id_col, text_col), "found"))
-            comps = components(union(links))
-        labelled = _label(postings_open.drop("comp"), comps)
-        postings_open = labelled.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).filter("lo < hi").drop("lo", "hi")
-        postings_open = materialise(postings_open, "open")
-    # every pair of holders in different components: first the components that meet at an n-gram, then their holders
-    meet = postings_open.select("tok", "comp").distinct()
-    meet = meet.select("tok", F.col("comp").alias("comp1")).join(meet.select("tok", F.col("comp").alias("comp2")), "tok").filter("comp1 < comp2")
-    x, y = (postings_open.select("tok", *[F.col(c).alias(c + s) for c in ("rep", "n", "pos", "comp")]) for s in ("1", "2"))
-    cross = meet.join(x, ["tok", "comp1"]).join(y, ["tok", "comp2"]).filter(near(F.col("n1"), F.col("n2")))
-    first = F.col("rep1") < F.col("rep2")
-    both = lambda c: (F.when(first, F.col(c + "1")).otherwise(F.col(c + "2")).alias(c + "1"), F.when(first, F.col(c + "2")).otherwise(F.col(c + "1")).alias(c + "2"))
-    cross = cross.select(*both("rep"), *both("n"), *both("pos"))
-    counted = cross.groupBy(F.col("rep1").alias("a"), F.col("rep2").alias("b"), "n1", "n2").agg(
-        F.count("*").alias("c"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2")
-    )
-    need = _need(F.col("n1"), F.col("n2"))
-    after_last = F.col("c") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    beyond = F.col("c") + F.greatest(F.col("n1") - _prefix_size(F.col("n1")), F.col("n2") - _prefix_size(F.col("n2")))
-    rest = counted.filter((after_last >= need) & (beyond >= need)).select("a", "b").distinct()
-    for t in tried:
-        rest = rest.join(t, ["a", "b"], "left_anti")
-    rest = materialise(rest, "pairs")
-    if rest.limit(1).count():
-        links.append(materialise(_links(rest, documents, levels, id_col, text_col), "found"))
-        comps = components(union(links))
+        stars = live.withColumns({"m": F.count("*").over(w), "centres": centres}).filter(F.col("m") > HOT)
+        stars = stars.select("rep", "n", "comp", F.explode("centres").alias("o")).filter((F.col("comp") != F.col("o.comp")) & near(F.col("n"), F.col("o.n")))
+        test(_in_order_of_id(stars.select(F.col("rep").alias("rep1"), F.col("n").alias("n1"), F.col("o.rep").alias("rep2"), F.col("o.n").alias("n2"))))
+        live = materialise(_live(_label(live.drop("comp"), comps)), "live")
+    # every pair of holders in different components, the smaller set first
+    x, y = (live.select("tok", *[F.col(c).alias(c + s) for c in ("rep", "n", "pos", "comp")]) for s in ("1", "2"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    ordered = (n1 < n2) | (n1 == n2) & (F.col("rep1") < F.col("rep2"))
+    first = (F.col("pos1") <= _early(n1, n2)) & (F.col("pos2") <= _early(n2, n1))
+    inner = x.filter(F.col("pos1") <= _early(n1, n1))
+    cross = inner.join(y, "tok").filter(ordered & (F.col("comp1") != F.col("comp2")) & near(n1, n2) & first)
+    test(_in_order_of_id(cross.select("rep1", "n1", "rep2", "n2")))
     return _result(member, comps)
 
 
+def _in_order_of_id(pairs: DataFrame) -> DataFrame:
+    """Distinct a, b, n1, n2 with a < b from rep1, n1, rep2, n2."""
+    ok = F.col("rep1") < F.col("rep2")
+    pick = lambda x, y: F.when(ok, F.col(x)).otherwise(F.col(y))
+    return pairs.select(pick("rep1", "rep2").alias("a"), pick("rep2", "rep1").alias("b"), pick("n1", "n2").alias("n1"), pick("n2", "n1").alias("n2")).distinct()
+
+
 def _label(postings: DataFrame, comps: DataFrame) -> DataFrame:
     c = comps.select(F.col("node").alias("rep"), F.col("comp").alias("__c"))
     small = c.count() <= BROADCAST_IDS
