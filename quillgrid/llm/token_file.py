@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, table
 
 WIDTH, SEGMENT, END_ID, DIRECTORY = 8, 1 << 20, 0, 512
-CACHED = 100_000
+CACHED, CACHED_WORDS = 30_000, 220_000
 BROADCAST_SEGMENTS = 200_000
 MAGIC = b"DAC1"
 
@@ -38,23 +38,42 @@ class Unsplittable(Exception):
 
 
 class Recent(dict):
-    """Keeps the last ``CACHED`` values made and, a generation older, as many again: the frequent stay."""
+    """Keeps the last ``size`` values made and, a generation older, as many again: the frequent stay."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= CACHED:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = out
         return out
 
 
+class Pieces(Recent):
+    """Ids of words with the space before them; other pieces are put together anew each time."""
+
+    def __init__(self, encoder: "Encoder", size: int):
+        super().__init__(lambda word: encoder.whole(" " + word), size)
+        self.other = encoder.tokens
+        self.findall = encoder.pattern.findall
+
+    def __missing__(self, piece):
+        if piece.isalpha():
+            return super().__missing__(piece)
+        if not piece or piece[0].isspace():
+            raise Unsplittable
+        stem = piece[:-1]
+        if piece[-1] in ".,;:!?" and stem.isalpha():
+            return self[stem] + self.other[piece[-1]]
+        return b"".join(map(self.other.__getitem__, self.findall(" " + piece)))
+
+
 class Encoder:
     """Ids of texts by a byte-level tokenizer, with the pieces between spaces kept once they are encoded.
 
@@ -70,17 +89,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pattern = regex.compile(PATTERN)
-        self.tokens, self.pieces = Recent(self.whole), Recent(self._piece)
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece with the space before it."""
-        if not piece or piece[0].isspace():
-            raise Unsplittable
-        if piece.isalpha():
-            return self.tokens[" " + piece]
-        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            return self.tokens[" " + piece[:-1]] + self.tokens[piece[-1]]
-        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(" " + piece)))
+        self.tokens = Recent(self.whole, CACHED)
+        self.pieces = Pieces(self, CACHED_WORDS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
