@@ -170,6 +170,23 @@ def test_join_chains_and_hot_groups(spark):
     assert {r.id: r.component_id for r in got} == brute_components(rows)
 
 
+def test_join_with_centres(spark, monkeypatch):
+    """The rounds with centres, forced on a small group whose texts lie on both sides of the threshold."""
+    monkeypatch.setattr(ngram_join, "MAX_SPREAD", -(10**6))
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 2)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(50):
+        v = [f"v{j}" for j in range(104)]
+        for j in rng.choice(104, int(rng.integers(1, 4)), replace=False):
+            v[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(v)))
+    ensure_workers(spark)
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.id: r.component_id for r in got} == brute_components(rows)
+
+
 def test_join_odd(odd, none):
     got = [(r.id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(odd).collect()]
     want = {1: 1, 5: 1, 6: 1, 2: 2, 3: 3, 4: 4, 7: 7, 8: 8}
