@@ -284,14 +284,15 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             comps = components(union(links))
         return True
 
-    live = materialise(_live(postings), "live")
+    live, before = materialise(_live(postings), "live"), float("inf")
     for turn in range(STAR_ROUNDS + 1):
         size = live.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
         pairs, held = size.agg(F.sum(F.col("m") * F.col("m") - F.col("s")), F.sum("m")).first()
         if not pairs:
             return _result(member, comps)
-        if pairs / 2 <= MAX_SPREAD * held + 50_000 or turn == STAR_ROUNDS:
-            break
+        if pairs / 2 <= MAX_SPREAD * held + 50_000 or pairs > before / 2 or turn == STAR_ROUNDS:
+            break  # few enough, or centres no longer bring them together
+        before = pairs
         # centres: the first holders in several orders, which change with each round
         key = lambda k: F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "rep").alias("h"), "rep", "n", "comp")  # noqa: E731, B023
         centres = F.array_distinct(F.array(*[F.min(key(k)).over(w) for k in range(CENTRES)]))
