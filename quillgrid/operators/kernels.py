@@ -92,17 +92,18 @@ def rotated_nms(boxes: np.ndarray, scores: np.ndarray, angles: np.ndarray) -> li
     order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
     cx, cy = (boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2
 
+    half_w, half_h = (boxes[:, 2] - boxes[:, 0]) / 2, (boxes[:, 3] - boxes[:, 1]) / 2
+    cos, sin = np.array([math.cos(a) for a in angles]), np.array([math.sin(a) for a in angles])
+
     def inside(i, j):
         u, v = cx[i] - cx[j], cy[i] - cy[j]
-        co, si = math.cos(angles[j]), math.sin(angles[j])
-        return abs(u * co + v * si) < (boxes[j, 2] - boxes[j, 0]) / 2 and abs(v * co - u * si) < (boxes[j, 3] - boxes[j, 1]) / 2
+        return (abs(u * cos[j] + v * sin[j]) < half_w[j]) & (abs(v * cos[j] - u * sin[j]) < half_h[j])
 
-    gone, kept = set(), []
-    for n, i in enumerate(order):
-        if i in gone:
-            continue
+    rest, kept = np.array(order, dtype=np.int64), []
+    while len(rest):
+        i, rest = int(rest[0]), rest[1:]
         kept.append(i)
-        gone.update(j for j in order[n + 1 :] if scores[i] > scores[j] and (inside(i, j) or inside(j, i)))
+        rest = rest[~((scores[i] > scores[rest]) & (inside(i, rest) | inside(rest, i)))]
     return kept
 
 

@@ -131,3 +131,17 @@ def test_seam_keeps_errors(spark):
     register("bad", lambda rows: 1 / 0)
     r = run_stage(spark.range(2), "bad", "id long, score double").collect()
     assert r and all("division" in x.error for x in r)
+
+
+def test_every_supplier_is_a_page(spark):
+    from quillgrid import registry
+    from quillgrid.session import ensure_workers
+
+    ensure_workers(spark)
+    sf = "/root/testdata/sf0.01"
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").distinct().count()
+    for name in ("hard_nms", "multiclass_nms", "nms_inter_classes", "rotated_nms", "sorted_boxes"):
+        assert registry.queries()[name](spark, sf).select("page").distinct().count() == suppliers
+    # only pages with tables have corners to snap to
+    tables = spark.sql("SELECT count(DISTINCT s_suppkey) AS n FROM parquet.`{0}/part.parquet` JOIN parquet.`{0}/supplier.parquet` ON p_partkey % 10 = s_suppkey % 10 WHERE p_partkey % 4 = 0".format(sf))
+    assert registry.queries()["snap_corners"](spark, sf).select("page").distinct().count() == tables.first().n
