@@ -2,10 +2,10 @@
 
 The mix has as many words as the corpus.  Sources in code point order (null last) weigh 1, 2, 3 and so
 on in a cycle; a source's target stops at ``MAX_EPOCHS`` times its size and the excess is shared anew by
-weight.  The mix is cut into equal blocks of words; the blocks go to the sources, and a source's blocks
-to its shards, by highest quotients (size over 1, 3, 5, ...).  In each shard the documents stand in
-seeded order, cut into blocks; whole passes are taken first, then consecutive blocks from a seeded one
-on.  So the result depends on the rows and the seed alone, and a hot source is spread over its shards.
+weight.  The words of the mix go to the sources, and a source's words to its shards, by highest quotients
+(size over 1, 3, 5, ...), so a source of a few words gets its share at any size of the corpus.  In each
+shard the documents stand in seeded order; whole passes are taken first, then consecutive words from a
+seeded block's start on.  So the result depends on the rows and the seed alone, and a hot source is spread over its shards.
 
 Null texts have no words, nothing is taken of them; null sources form one source; repeated rows count
 each; an empty table gives no rows; extra columns are not read.  Only sums by source and by shard
@@ -14,6 +14,8 @@ each; an empty table gives no rows; extra columns are not read.  Only sums by so
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,8 +59,14 @@ def sainte_lague(votes, seats: int) -> np.ndarray:
             break
         low, high = (mid, high) if count(mid).sum() > seats else (low, mid)
     out = count(high)
-    while out.sum() < seats:
-        out[int(np.argmax(v / (2 * out + 1)))] += 1
+    left = seats - int(out.sum())
+    if left > 0:
+        best = list(zip((-v / (2 * out + 1)).tolist(), range(len(v))))
+        heapq.heapify(best)
+        for _ in range(left):
+            i = best[0][1]
+            out[i] += 1
+            heapq.heapreplace(best, (-v[i] / (2 * out[i] + 1), i))
     return out
 
 
@@ -80,7 +88,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], max_epochs)
     total = sum(sizes)
     block = max(1, total // blocks)
-    quota = sainte_lague(goal, round(total / block))
+    quota = sainte_lague(goal, total)
     by_source = spark.createDataFrame(
         [(r.source, r["size"], float(g), max(1, -(-r.n // shard_docs))) for r, g in zip(sources, goal)],
         "source string, source_size long, target double, shards int",
@@ -98,7 +106,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         while to < len(parts) and parts[to].source == parts[at].source:
             to += 1
         for r, q in zip(parts[at:to], sainte_lague([r["size"] for r in parts[at:to]], int(of[parts[at].source]))):
-            words = min(int(q) * block, max_epochs * r["size"])
+            words = min(int(q), max_epochs * r["size"])
             n_blocks = max(1, -(-r["size"] // block))
             plan.append((r.source, r.shard, r["size"], words, int(np.random.default_rng([seed, r.shard, len(plan)]).integers(n_blocks)) * block))
         at = to

@@ -247,6 +247,18 @@ def test_mix_odd(odd, none):
     assert len(got) == len(ODD) and (got["taken"] <= 3 * got["size"]).all() and mixing.mix(none).count() == 0
 
 
+def test_mix_tiny_sources(spark):
+    """Sources far below a block's words beside a hot one, and more sources than blocks."""
+    ensure_workers(spark)
+    hot = [(i, "hot", "w " * 500) for i in range(200)]
+    tiny = [(1000 + i, "a tiny", "w " * (3 + i)) for i in range(2)]
+    tail = [(2000 + i, f"tail {i:03d}", "w " * 5) for i in range(60)]
+    got = mixing.mix(spark.createDataFrame(hot + tiny + tail, "doc_id long, source string, text string"), blocks=20).toPandas()
+    g = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (g["target"] > 0).all() and ((g["taken"] - g["target"]).abs() <= 1).all() and len(g) == 62
+    assert g["taken"]["a tiny"] == 21 and g["taken"].sum() == got["size"].sum()
+
+
 # 5
 
 
