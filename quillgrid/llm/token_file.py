@@ -78,7 +78,8 @@ class Encoder:
     """Ids of texts by a byte-level tokenizer, with the pieces between spaces kept once they are encoded.
 
     The tokenizer's pattern never joins a space to what stands before it, so a text may be cut before a
-    space that is followed by anything but white space.  Texts with other spaces are encoded whole.
+    space that is followed by anything but white space.  Texts with other spaces, or with the content of an
+    added token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -87,7 +88,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PATTERN)
         self.tokens = Recent(self.whole, CACHED)
         self.pieces = Pieces(self, CACHED_WORDS)
@@ -99,6 +100,8 @@ class Encoder:
         """Little-endian 32-bit ids."""
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.whole(text)
         first, *rest = text.split(" ")
         try:
             return (self.whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))

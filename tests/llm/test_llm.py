@@ -379,6 +379,17 @@ def test_encoder():
         assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_added_tokens():
+    from tokenizers import Tokenizer
+
+    e = token_file.encoder(token_file.vocabulary_path())
+    plain = Tokenizer.from_file(token_file.vocabulary_path())
+    assert e.added
+    for t in e.added:
+        for text in (t, f"a {t} b", f"a{t}b c d", f"one two, {t}", f"{t[:-1]} x"):
+            assert np.frombuffer(e.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_file.op9_token_file(spark, SF).collect()}
     e, at = token_file.encoder(token_file.vocabulary_path()), 0
