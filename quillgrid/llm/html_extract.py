@@ -183,8 +183,8 @@ def _score(nodes: list[Node]) -> None:
             up = up.parent
 
 
-def _blocks(root: Node, out: list[str]) -> None:
-    """Texts of the blocks below an element, in page order."""
+def _blocks(root: Node, out: list[str], lists: bool = True) -> None:
+    """Texts of the blocks below an element, in page order; ``lists``: with those that are mostly links."""
     parts: list[str] = []
 
     def flush():
@@ -200,7 +200,7 @@ def _blocks(root: Node, out: list[str]) -> None:
             flush()
         elif isinstance(x, str):
             parts.append(x)
-        elif x.dropped or x is not root and x.tag in LISTS and x.n and _density(x) > 0.5:
+        elif x.dropped or not lists and x is not root and x.tag in LISTS and x.n and _density(x) > 0.5:
             continue
         elif x.tag == "br":
             parts.append(" ")
@@ -213,6 +213,24 @@ def _blocks(root: Node, out: list[str]) -> None:
     flush()
 
 
+def _common(nodes: list[Node], best: Node) -> tuple[Node, set[Node]]:
+    """The highest element with several branches that score near the best (else the best's parent), and these branches."""
+    value = lambda x: x.points * (1 - _density(x))
+    branches: dict[Node, set[Node]] = {}
+    for x in nodes:
+        if value(x) < value(best) * 0.5 or x.parent is None:
+            continue
+        while x.parent is not None and x not in branches.get(x.parent, ()):
+            branches.setdefault(x.parent, set()).add(x)
+            x = x.parent
+    found, up = best.parent, best.parent
+    while up is not None:
+        if len(branches[up]) > 1:
+            found = up
+        up = up.parent
+    return found, branches[found]
+
+
 def main_text(html: str | None) -> str:
     """Main text of a page: blocks joined by line breaks, empty if there is none."""
     if not html:
@@ -231,15 +249,16 @@ def main_text(html: str | None) -> str:
     if up is not None:
         _blocks(up, out)
     elif best.parent is None or best.points <= 0:
-        _blocks(root, out)
+        _blocks(root, out, lists=False)
     else:
+        parent, near = _common(nodes, best)
         least = max(3.0, best.points * 0.2)
-        for x in best.parent.kids:
+        for x in parent.kids:
             if not isinstance(x, Node) or x.dropped:
                 continue
             heading = x.tag in ("h1", "h2", "h3")
             prose = x.tag == "p" and _density(x) < 0.25 and (x.n > 80 or "." in _inline_text(x))
-            if x is best or heading or prose or x.points >= least and _density(x) < 0.5:
+            if x in near or heading or prose or x.points >= least and _density(x) < 0.5:
                 _blocks(x, out)
     return "\n".join(out)
 

@@ -274,6 +274,17 @@ def test_html():
     assert html_extract.main_text(two) == "One, two, three.\nFour, five, six."
 
 
+def test_html_keeps_link_lists_and_parts():
+    refs = "<ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ul>"
+    page = f"<body><article><p>One, two, three.</p>{refs}<ul class=related><li><a href=/3>More</a></li></ul></article></body>"
+    assert html_extract.main_text(page) == "One, two, three.\nFirst source\nSecond source"
+    body = "A sentence of the page, with commas, that is long enough to count as prose"
+    for n in (2, 3):
+        parts = [f"<section><div><p>{body} {i}.</p></div></section>" for i in range(n)]
+        page = f"<body><nav>Home</nav>{''.join(parts)}<div class=comments><p>{body}.</p></div></body>"
+        assert html_extract.main_text(page) == "\n".join(f"{body} {i}." for i in range(n))
+
+
 def test_html_pages(spark):
     ensure_workers(spark)
     got = html_extract.op5_html_extract(spark, SF).toPandas()
