@@ -336,5 +336,19 @@ def one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_col: st
     return documents.join(gone, id_col, "left_anti")
 
 
+def _without_id(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id of the rows that have no id and so no component."""
+
+    @F.pandas_udf("long")
+    def n_shingles(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: len(np.unique(run_hashes(word_hashes(t)))))
+
+    rows = documents.filter(F.col(id_col).isNull())
+    none = F.lit(None).cast("long")
+    return rows.select(none.alias("id"), n_shingles(F.col(text_col)).alias("n_shingles"), none.alias("component_id"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    groups = jaccard_groups(docs)
+    return groups.unionByName(_without_id(docs).select(*groups.columns)).withColumnRenamed("id", "doc_id")

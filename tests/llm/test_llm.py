@@ -196,6 +196,13 @@ def test_join_odd(odd, none):
     assert ngram_join.jaccard_groups(none).count() == 0
 
 
+def test_join_keeps_rows_without_id(odd, spark, tmp_path):
+    odd.unionByName(odd.withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")}).limit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = ngram_join.op3_ngram_join(spark, str(tmp_path)).collect()
+    assert len(got) == len(ODD) + 1
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (3, None)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(i, i + 1) for i in range(100, 130)]
