@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +32,14 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (single-machine tests) a local folder is set.
+    Only on a single machine (master ``local``, as in tests) is a local folder used where none is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "/tmp/checkpoints"
         os.makedirs(found, exist_ok=True)
     return found.rstrip("/")
@@ -46,12 +50,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillgrid/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def no_shuffles_left(spark: SparkSession):
+    """Shuffle files of the jobs inside go as soon as a job is done, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).table(df, name)
+
+
+class Scratch:
+    """Tables in the shared folder for as long as a computation needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        with no_shuffles_left(self.spark):
+            df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names, or all."""
+        for name in names or list(self.paths):
+            for path in self.paths.pop(name, []):
+                drop_path(self.spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -170,32 +170,77 @@ def test_join_chains_and_hot_groups(spark):
     assert {r.id: r.component_id for r in got} == brute_components(rows)
 
 
-def test_join_with_centres(spark, monkeypatch):
-    """The rounds with centres, forced on a small group whose texts lie on both sides of the threshold."""
-    monkeypatch.setattr(ngram_join, "MAX_SPREAD", -(10**6))
-    monkeypatch.setattr(ngram_join, "HOT", 2)
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 2)
-    rng = np.random.default_rng(9)
+@pytest.mark.parametrize("hot", [1, 3])
+def test_join_with_centres(spark, monkeypatch, hot):
+    """Groups of variants on both sides of the threshold, so that centres do not link all that links."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 5)
+    rng = np.random.default_rng(hot)
     rows = []
-    for i in range(50):
-        v = [f"v{j}" for j in range(104)]
-        for j in rng.choice(104, int(rng.integers(1, 4)), replace=False):
-            v[j] = f"n{i}x{j}"
-        rows.append((i, " ".join(v)))
+    for group, (size, edits) in enumerate([(50, 4), (40, 7), (30, 12)]):
+        for i in range(size):
+            v = [f"v{group}x{j}" for j in range(104)]
+            # some edits are common to a few variants: these link with each other and not with the centre
+            for j in rng.choice(104, int(rng.integers(0, edits)), replace=False):
+                v[j] = f"n{i}x{j}"
+            if i % 5 == 4:
+                for j in range(10 * (i % 3), 10 * (i % 3) + 30, 10):
+                    v[j] = f"m{group}x{j}"
+            rows.append((len(rows), " ".join(v[: 104 - i % 4])))
     ensure_workers(spark)
     got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.id: r.component_id for r in got} == brute_components(rows)
 
 
+def test_join_finds_links_beyond_centres(spark, monkeypatch):
+    """Without the step on differences, links of this group would be missing."""
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    base = [f"v{j}" for j in range(104)]
+    rows = [(i, " ".join([f"a{i}" if j == 10 * (i + 1) else w for j, w in enumerate(base)])) for i in range(6)]
+    for i in range(2):  # five common edits and one of their own: far from the others, near each other
+        v = [f"z{j}" if j % 20 == 7 else w for j, w in enumerate(base)]
+        v[50 + 30 * i] = f"own{i}"
+        rows.append((100 + i, " ".join(v)))
+    ensure_workers(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert want[101] == 100 and want[5] == 0
+    assert {r.id: r.component_id for r in ngram_join.jaccard_groups(df).collect()} == want
+
+
+def test_join_repeated_rows(spark):
+    """A repeated row counts once; three texts under one id are one document."""
+    a = [f"w{i}" for i in range(104)]
+    part = a[:64] + [f"x{i}" for i in range(40)]
+    rows = [(7, " ".join(a)), (7, " ".join(a)), (8, " ".join(part)), (9, "one two three four five six"), (9, "p q r s t u"), (9, "k l m n o"), (10, "P Q r s t u"), (11, "k l m  n o")]
+    ensure_workers(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.jaccard_groups(df).collect()
+    assert len(got) == len(rows) and {(r.id, r.component_id) for r in got} == {(7, 7), (8, 8), (9, 9), (10, 9), (11, 9)}
+    assert sorted(r.doc_id for r in ngram_join.one_of_each_group(df).collect()) == [7, 8, 9]
+
+
 def test_join_odd(odd, none):
     got = [(r.id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(odd).collect()]
-    want = {1: 1, 5: 1, 6: 1, 2: 2, 3: 3, 4: 4, 7: 7, 8: 8}
-    assert {(i, c) for i, _, c in got} == set(want.items()) and len(got) == len(ODD) - 1
+    want = {1: 1, 5: 1, 6: 1, 2: 2, 3: 3, 4: 4, 7: 7, 8: 8, None: None}
+    assert {(i, c) for i, _, c in got} == set(want.items()) and len(got) == len(ODD)
     kept = ngram_join.one_of_each_group(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 7, 8]
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 8]
     assert ngram_join.jaccard_groups(none).count() == 0
 
 
+def test_join_leaves_one_table(odd, spark):
+    """All intermediate tables are deleted."""
+    import os
+
+    from quillgrid.llm.common import shared_dir
+
+    top = f"{shared_dir(spark)}/quillgrid"
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    ngram_join.jaccard_groups(odd)
+    assert [x.split("-")[0] for x in set(os.listdir(top)) - before] == ["groups"]
+
+
 def test_join_keeps_rows_without_id(odd, spark, tmp_path):
     odd.unionByName(odd.withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")}).limit(1)).write.parquet(f"{tmp_path}/documents.parquet")
     got = ngram_join.op3_ngram_join(spark, str(tmp_path)).collect()
