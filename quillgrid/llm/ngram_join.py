@@ -188,43 +188,57 @@ def _describe(documents: DataFrame, fragments: int, id_col: str, text_col: str)
     return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(describe, ROWS_DDL)
 
 
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """Rows (without their first column) of each value of the first column, by which they are sorted."""
+    key, held = None, []
+    for batch in batches:
+        for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key and held:
+                yield key, held
+                held = []
+            key = k
+            held.append(row)
+    if held:
+        yield key, held
+
+
 def _seen_elsewhere(blobs: DataFrame, fragments: int) -> DataFrame:
-    """node, c: how many of a set's first n-grams of one fragment other chunks hold too."""
-    out = pa.schema([("node", pa.int64()), ("c", pa.int64())])
-
-    def credit(held: list) -> pa.RecordBatch:
-        grams = np.zeros((sum(len(g) for _, g, _ in held) // 6, 8), np.uint8)
-        grams[:, :6] = np.frombuffer(b"".join(g for _, g, _ in held), np.uint8).reshape(-1, 6)
-        grams = grams.view("<u8").ravel()
-        sets = np.frombuffer(b"".join(s for _, _, s in held), "<u2").astype(np.int64)
-        node = (np.repeat(np.array([c for c, _, _ in held], np.int64), [len(s) // 2 for _, _, s in held]) << 12) | sets
-        order = np.argsort(grams)
-        grams, sets, node = grams[order], sets[order], node[order]
-        run = np.cumsum(np.append(True, grams[1:] != grams[:-1])) - 1
-        met = (np.bincount(run) > 1) | (np.bincount(run, weights=sets == MARK) > 0)
-        node, c = np.unique(node[met[run] & (sets != MARK)], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(c.astype(np.int64))], schema=out)
+    """node, c: how many of a set's first n-grams other chunks hold too; counted by fragment, then summed by chunk."""
+    sums = pa.schema([("node", pa.int64()), ("c", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, held = None, []
-        for batch in batches:
-            for g, *entry in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if g != f and held:
-                    yield credit(held)
-                    held = []
-                f = g
-                held.append(entry)
-        if held:
-            yield credit(held)
+        for _, held in _by_key(batches):
+            grams = np.zeros((sum(len(g) for _, g, _ in held) // 6, 8), np.uint8)
+            grams[:, :6] = np.frombuffer(b"".join(g for _, g, _ in held), np.uint8).reshape(-1, 6)
+            grams = grams.view("<u8").ravel()
+            sets = np.frombuffer(b"".join(s for _, _, s in held), "<u2").astype(np.int64)
+            node = (np.repeat(np.array([c for c, _, _ in held], np.int64), [len(s) // 2 for _, _, s in held]) << 12) | sets
+            order = np.argsort(grams)
+            grams, sets, node = grams[order], sets[order], node[order]
+            run = np.cumsum(np.append(True, grams[1:] != grams[:-1])) - 1
+            met = (np.bincount(run) > 1) | (np.bincount(run, weights=sets == MARK) > 0)
+            node, c = np.unique(node[met[run] & (sets != MARK)], return_counts=True)
+            cuts = [0, *(np.flatnonzero(np.diff(node >> 12)) + 1).tolist(), len(node)]
+            rows = [(int(node[a]) >> 12, (node[a:b] & 0xFFF).astype("<u2").tobytes(), c[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:]) if a < b]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["chunk", "sets", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, held in _by_key(batches):
+            total = np.zeros(CHUNK_SETS, np.int64)
+            for sets, counts in held:
+                total[np.frombuffer(sets, "<u2")] += np.frombuffer(counts, "<u4")  # a set is once in a row
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array((chunk << 12) | some), pa.array(total[some])], schema=sums)
 
     rows = blobs.select("f", "chunk", "grams", "sets").repartition(fragments, "f").sortWithinPartitions("f")
-    return rows.mapInArrow(count, "node long, c long")
+    counts = rows.mapInArrow(count, "chunk long, sets binary, counts binary")
+    return counts.repartition(fragments, "chunk").sortWithinPartitions("chunk").mapInArrow(add, "node long, c long")
 
 
 def _classes(rows: DataFrame, credits: DataFrame) -> DataFrame:
     """d1, d2, n, cid (smallest id), node, m (rows), alive of each distinct set."""
-    c = credits.groupBy("node").agg(F.sum("c").alias("c"))
-    full = rows.filter("node IS NOT NULL").join(c, "node", "left")
+    full = rows.filter("node IS NOT NULL").join(credits, "node", "left")
     least = F.ceil(F.col("n") * NUM / DEN).cast("long")  # the smallest partner's size
     enough = F.col("own") + F.coalesce("c", F.lit(0)) >= F.greatest(F.lit(1), F.floor(least / EXTRA))
     best = F.min(F.struct("id", "node"))
