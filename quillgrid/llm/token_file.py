@@ -7,106 +7,134 @@ entry and a short count: one token is read without decoding its block.
 
 A file set is a Parquet folder; a row is a segment of about ``SEGMENT`` tokens with the codes as one
 binary value, beside the ids and the offsets of its documents.  Spark's writer commits it, so it works
-on any store and lost executors leave no halves.  Segments follow each other in ascending document id.
+on any store and lost executors leave no halves.  The files are neither compressed nor dictionary coded:
+the codes lie in them as they are, and a token can be read by its place in the file.  Segments follow each other in ascending document id.
 
-Null and empty texts have the end id alone.  Null ids come first.  Rows of one id stay in the order of
-their texts.  An empty table gives an empty file set and no rows; extra columns are not read.
+Null and empty texts have the end id alone.  Null ids come first.  Rows of one id stand in the order of
+their texts' hashes.  An empty table gives an empty file set and no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, no_shuffles_left, table
 
 WIDTH, SEGMENT, END_ID, DIRECTORY = 8, 1 << 20, 0, 512
-CACHED, CACHED_WORDS = 30_000, 220_000
+CACHED_WORDS, BLOCK = 400_000, 1 << 20  # pieces kept by a worker; characters encoded at once
 BROADCAST_SEGMENTS = 200_000
 MAGIC = b"DAC1"
+MARKS = string.punctuation  # ASCII characters that are neither letters, digits nor white space
 
 
-class Unsplittable(Exception):
-    """A piece that may not be encoded apart from its neighbours."""
+class Tails(dict):
+    """Ids of runs of marks; the short ones are kept, which are few."""
 
-
-class Recent(dict):
-    """Keeps the last ``size`` values made and, a generation older, as many again: the frequent stay."""
-
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, key):
-        out = self.old.get(key)
+    def of(self, tail: str, encode: Callable[[str], bytes]) -> bytes:
+        out = self.get(tail)
         if out is None:
-            out = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
+            out = encode(tail)
+            if len(tail) <= 3:
+                self[tail] = out
         return out
 
 
-class Pieces(Recent):
-    """Ids of words with the space before them; other pieces are put together anew each time."""
-
-    def __init__(self, encoder: "Encoder", size: int):
-        super().__init__(lambda word: encoder.whole(" " + word), size)
-        self.other = encoder.tokens
-        self.findall = encoder.pattern.findall
-
-    def __missing__(self, piece):
-        if piece.isalpha():
-            return super().__missing__(piece)
-        if not piece or piece[0].isspace():
-            raise Unsplittable
-        stem = piece[:-1]
-        if piece[-1] in ".,;:!?" and stem.isalpha():
-            return self[stem] + self.other[piece[-1]]
-        return b"".join(map(self.other.__getitem__, self.findall(" " + piece)))
-
-
 class Encoder:
     """Ids of texts by a byte-level tokenizer, with the pieces between spaces kept once they are encoded.
 
-    The tokenizer's pattern never joins a space to what stands before it, so a text may be cut before a
-    space that is followed by anything but white space.  Texts with other spaces, or with the content of an
-    added token, are encoded whole.
+    The tokenizer's pattern never joins a space to what stands before it, nor a single line break to
+    anything, so a text may be cut before both where no other white space follows.  A piece is a word after
+    a space, or a line break with the word after it.  New pieces of a block of texts are encoded in one
+    call, parted by line breaks.  Texts with other white space, or with the content of an added token, are
+    encoded whole.
     """
 
     def __init__(self, path: str):
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(PATTERN)
-        self.tokens = Recent(self.whole, CACHED)
-        self.pieces = Pieces(self, CACHED_WORDS)
+        self.line = self.whole("\n")
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails = Tails()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        """Little-endian 32-bit ids."""
+        # the same ids as those of encode(); only the offsets of tokens, which nobody asks for, are not made
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of each of ``words``, which hold no line break."""
+        ids = np.frombuffer(self.whole("\n".join(words)), "<u4")
+        cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
+        if len(self.line) != 4 or len(cuts) != len(words) - 1:
+            return [self.whole(w) for w in words]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Make sure of the ids of all pieces that may be encoded apart."""
+        if len(self.recent) > CACHED_WORDS:  # the frequent come back from the older ones
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        new = [p for p in pieces if p not in recent]
+        cores = [p.removeprefix("\n") for p in new]
+        if " ".join(cores).split() != cores:  # some are empty or hold white space
+            new = [p for p, core in zip(new, cores) if core.split() == [core]]
+        # letters and the marks behind them are apart for the tokenizer, so most such pieces need no call
+        marked, plain = [], set()
+        for p in new:
+            if p in older:
+                recent[p] = older[p]
+                continue
+            stem = p.rstrip(MARKS)
+            if len(stem) < len(p) and stem.removeprefix("\n").isalpha():
+                marked.append((p, stem))
+                if stem not in recent:
+                    plain.add(stem)
+            else:
+                plain.add(p)
+        words, lines = [p for p in plain if p[0] != "\n"], [p for p in plain if p[0] == "\n"]
+        if words:
+            recent.update(zip(words, self._each([" " + p for p in words])))
+        if lines:
+            recent.update((p, self.line + ids) for p, ids in zip(lines, self._each([p[1:] for p in lines])))
+        for p, stem in marked:
+            recent[p] = recent[stem] + self.tails.of(p[len(stem) :], self.whole)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        cut: list[list[str] | None] = []
+        need: set[str] = set()
+        for t in texts:
+            pieces = None
+            if t and not any(a in t for a in self.added):
+                # a line break in front makes the first word a piece like the others
+                pieces = ("\n" + t).replace("\n", " \n").split(" ")
+                del pieces[0]
+                need.update(pieces)
+            cut.append(pieces)
+        self._learn(need)
+        get, out = self.recent.__getitem__, []
+        for t, pieces in zip(texts, cut):
+            try:
+                out.append(b"".join(map(get, pieces))[len(self.line) :] if pieces else self.whole(t))
+            except KeyError:
+                out.append(self.whole(t))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        if any(t in text for t in self.added):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        try:
-            return (self.whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
-        except Unsplittable:
-            return self.whole(text)
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -146,18 +174,32 @@ def _levels(blob: bytes):
 
 
 def dac_get(blob: bytes, i: int) -> int:
-    """The id at place ``i``: one chunk, one bit and one rank for each of its levels."""
-    out = shift = 0
-    for width, n, ones_at, bits_at, data_at in _levels(blob):
+    """The id at place ``i``."""
+    return dac_read(lambda at, n: blob[at : at + n], i)
+
+
+def dac_read(read: Callable[[int, int], bytes], i: int) -> int:
+    """The id at place ``i`` of codes behind ``read(at, size)``, such as a range of a file.
+
+    Read are the few bytes of each level's head and of one chunk, one directory entry and one stretch of the bitmap.
+    """
+    width, n_levels = struct.unpack("<HH", read(4, 4))
+    at, size, out, shift = 8, width // 8, 0, 0
+    for _ in range(n_levels):
+        n, n_bits, n_ones = struct.unpack("<QQQ", read(at, 24))
+        ones_at, bits_at, data_at = at + 24, at + 24 + 8 * n_ones, at + 24 + 8 * n_ones + n_bits
         if not 0 <= i < n:
             raise IndexError(i)
-        out |= int.from_bytes(blob[data_at + i * (width // 8) : data_at + (i + 1) * (width // 8)], "little") << shift
+        out |= int.from_bytes(read(data_at + i * size, size), "little") << shift
         shift += width
-        if not blob[bits_at + i // 8] >> (i % 8) & 1:
-            return out
         base = i // DIRECTORY
-        before = int.from_bytes(blob[bits_at + base * DIRECTORY // 8 : bits_at + i // 8 + 1], "little") & ((1 << (i - base * DIRECTORY)) - 1)
-        i = struct.unpack_from("<Q", blob, ones_at + 8 * base)[0] + before.bit_count()
+        first = bits_at + base * DIRECTORY // 8
+        stretch = int.from_bytes(read(first, bits_at + i // 8 + 1 - first), "little")
+        if not stretch >> (i - base * DIRECTORY) & 1:
+            return out
+        before = stretch & ((1 << (i - base * DIRECTORY)) - 1)
+        i = struct.unpack("<Q", read(ones_at + 8 * base, 8))[0] + before.bit_count()
+        at = data_at + n * size
     raise ValueError("codes end too soon")
 
 
@@ -179,39 +221,57 @@ def dac_decode(blob: bytes) -> np.ndarray:
 SCHEMA = "part int, seq int, n_tokens long, ids array<long>, offsets array<long>, codes binary"
 
 
+def _blocks(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+    """The same in blocks of about ``BLOCK`` characters."""
+    a = size = 0
+    for b, t in enumerate(texts):
+        size += len(t)
+        if size >= BLOCK:
+            yield keys[a : b + 1], texts[a : b + 1]
+            a, size = b + 1, 0
+    if a < len(texts):
+        yield keys[a:], texts[a:]
+
+
 def write_tokens(documents: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = END_ID, segment: int = SEGMENT, parts: int | None = None) -> None:
     """Encode every whole text and write the file set to ``path``, in ascending id."""
     spark = documents.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
         ids, offsets, held, n = [], [0], [], 0
 
         def flush():
             codes = dac_encode(np.frombuffer(b"".join(held), "<u4"))
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_tokens": [n], "ids": [ids], "offsets": [offsets], "codes": [codes]})
-
-        for pdf in batches:
-            for i, text in zip(pdf["id"].tolist(), pdf["text"].tolist()):
-                b = enc.encode(text) + end
-                held.append(b)
-                n += len(b) // 4
-                ids.append(None if pd.isna(i) else int(i))
-                offsets.append(n)
-                if n >= segment:
-                    yield flush()
-                    ids, offsets, held, n, seq = [], [0], [], 0, seq + 1
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            columns = [pa.array([v], k) for v, k in zip((part, seq, n, ids, offsets, codes), kinds)]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_tokens", "ids", "offsets", "codes"])
+
+        for batch in batches:
+            for keys, texts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i, b in zip(keys, enc.encode_all(texts)):
+                    held += [b, end]
+                    n += len(b) // 4 + 1
+                    ids.append(i)
+                    offsets.append(n)
+                    if n >= segment:
+                        yield flush()
+                        ids, offsets, held, n, seq = [], [0], [], 0, seq + 1
         if held:
             yield flush()
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # ids as text would lose no digits, but pandas makes floats of longs with nulls; split them off instead
-    rows = rows.withColumn("id", F.col("id").cast("string"))
-    ordered = rows.withColumn("k", F.col("id").cast("long")).repartitionByRange(parts, "k").sortWithinPartitions("k", "text")
-    ordered.select("id", "text").mapInPandas(encode, SCHEMA).write.parquet(path)
+    # the last two part the rows of one id, so that they needn't lie in one task
+    order = ["id", F.xxhash64("text"), F.monotonically_increasing_id()]
+    keyed = rows.select("id", "text", order[1].alias("h"), order[2].alias("row"))
+    ordered = keyed.repartitionByRange(parts, "id", "h", "row").sortWithinPartitions("id", "h", "row")
+    files = ordered.select("id", "text").mapInArrow(encode, SCHEMA).write
+    with no_shuffles_left(spark):
+        # plain bytes, so that codes can be read in place
+        files.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -231,17 +291,19 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def document_digests(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the segments."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start, ids, offsets, codes in zip(pdf["start"], pdf["ids"], pdf["offsets"], pdf["codes"]):
-                raw = memoryview(dac_decode(codes).astype("<u4").tobytes())
-                o = np.asarray(offsets, dtype=np.int64)
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(o[:-1], o[1:])]
-                doc = pd.array([None if pd.isna(i) else int(i) for i in ids], dtype="Int64")
-                yield pd.DataFrame({"doc_id": doc, "start": start + o[:-1], "n_tokens": np.diff(o), "ids_crc32": crc})
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                start, ids, offsets, codes = (c[i] for c in batch.columns)
+                raw = memoryview(dac_decode(codes.as_buffer()).astype("<u4").tobytes())
+                o = offsets.values.to_numpy()
+                ends = (4 * o).tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])]
+                columns = [ids.values, pa.array(start.as_py() + o[:-1]), pa.array(np.diff(o)), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # few rows a batch, as each holds a whole segment
-    return segments.select("start", "ids", "offsets", "codes").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("start", "ids", "offsets", "codes").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

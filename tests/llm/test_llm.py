@@ -438,10 +438,41 @@ def test_codes(ids, width):
 
 def test_encoder():
     e = token_file.encoder(token_file.vocabulary_path())
-    for text in ("", " ", "a  b", "it's  a\n\n test ,x ### done. ", "naïve café—ok", "\tx y\n z", "a" * 5000, "w1 22 w-3, don't!", "trailing "):
+    for text in ("", " ", "a  b", "it's  a\n\n test ,x ### done. ", "naïve café—ok", "\tx y\n z", "a" * 5000, "w1 22 w-3, don't!", "trailing ", "one.\nTwo\nthree 's x\n's", "\na b", " a\nb", "a\n\nb", "a\n\n\nb",
+                 "end\n", "a \nb", "a\n b", "x\u00a0y z\u2003q", "a\x1cb c\x85d"):
         assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.text(alphabet="ab'sZ1é-.,\n \t\u00a0漢", max_size=12), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_encoder_blocks(texts):
+    """Whatever was encoded before, a text has the ids of the tokenizer's plain call."""
+    e = token_file.encoder(token_file.vocabulary_path())
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode_all(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_read_in_place(spark, docs, tmp_path):
+    """Single tokens from the written files, by range reads of a few bytes."""
+    ensure_workers(spark)
+    token_file.write_tokens(docs.limit(40), f"{tmp_path}/t", token_file.vocabulary_path(), segment=3000, parts=2)
+    n = 0
+    for r in spark.read.parquet(f"{tmp_path}/t").withColumn("file", F.input_file_name()).collect():
+        with open(r.file.removeprefix("file://"), "rb") as f:
+            start = f.read().index(bytes(r.codes))  # where the segment's codes begin in the file
+            sizes = []
+
+            def read(at, size, f=f, start=start, sizes=sizes):
+                sizes.append(size)
+                f.seek(start + at)
+                return f.read(size)
+
+            for i in (0, 1, r.n_tokens // 2, r.n_tokens - 1):
+                sizes.clear()
+                assert token_file.dac_read(read, i) == token_file.dac_decode(r.codes)[i] and sum(sizes) < 400
+                n += 1
+    assert n >= 8
+
+
 def test_encoder_added_tokens():
     from tokenizers import Tokenizer
 
