@@ -10,12 +10,13 @@ binary value, beside the ids and the offsets of its documents.  Spark's writer c
 on any store and lost executors leave no halves.  The files are neither compressed nor dictionary coded:
 the codes lie in them as they are, and a token can be read by its place in the file.  Segments follow each other in ascending document id.
 
-Null and empty texts have the end id alone.  Null ids come first.  Rows of one id stand in the order of
-their texts' hashes.  An empty table gives an empty file set and no rows; extra columns are not read.
+Null and empty texts have the end id alone.  Null ids come first.  Rows of one id stand as they
+are read.  An empty table gives an empty file set and no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import string
 import struct
 import zlib
@@ -53,16 +54,24 @@ class Encoder:
 
     The tokenizer's pattern never joins a space to what stands before it, nor a single line break to
     anything, so a text may be cut before both where no other white space follows.  A piece is a word after
-    a space, or a line break with the word after it.  New pieces of a block of texts are encoded in one
-    call, parted by line breaks.  Texts with other white space, or with the content of an added token, are
+    a space, or a line break with the word after it.  New words of a block of texts are encoded in one
+    call.  Texts with other white space, or with the content of an added token, are
     encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        how = json.loads(self.tokenizer.to_str())
+        how = (how["normalizer"], how["post_processor"], how["pre_tokenizer"] or {})
+        self.cuttable = how[:2] == (None, None) and how[2].get("type") == "ByteLevel" and how[2]["use_regex"] and not how[2]["add_prefix_space"]
+        # for pieces that the pattern would not cut: the same but for the pattern
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character of a token stands for a byte
         self.line = self.whole("\n")
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -74,63 +83,68 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _each(self, words: list[str]) -> list[bytes]:
-        """Ids of each of ``words``, which hold no line break."""
-        ids = np.frombuffer(self.whole("\n".join(words)), "<u4")
-        cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-        if len(self.line) != 4 or len(cuts) != len(words) - 1:
-            return [self.whole(w) for w in words]
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Make sure of the ids of all pieces that may be encoded apart."""
-        if len(self.recent) > CACHED_WORDS:  # the frequent come back from the older ones
-            self.recent, self.older = {}, self.recent
+        """Ids of each of ``words``: letters with or without a space before them."""
+        if not words:
+            return []
+        ids = np.array(self.words.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        # a word ends where the bytes of the tokens so far are those of the words so far
+        bounds = np.flatnonzero(np.frombuffer("\n".join([*words, ""]).encode(), np.uint8) == 10) - np.arange(len(words))
+        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), bounds) + 1
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, pieces: list[str], space: str, before: bytes, lead: str) -> None:
+        """Keep the ids of those of ``pieces`` that may be encoded apart: with ``space`` in front and behind the ids ``before``, as lead + piece."""
         recent, older = self.recent, self.older
-        new = [p for p in pieces if p not in recent]
-        cores = [p.removeprefix("\n") for p in new]
-        if " ".join(cores).split() != cores:  # some are empty or hold white space
-            new = [p for p, core in zip(new, cores) if core.split() == [core]]
-        # letters and the marks behind them are apart for the tokenizer, so most such pieces need no call
-        marked, plain = [], set()
-        for p in new:
-            if p in older:
-                recent[p] = older[p]
-                continue
-            stem = p.rstrip(MARKS)
-            if len(stem) < len(p) and stem.removeprefix("\n").isalpha():
-                marked.append((p, stem))
-                if stem not in recent:
-                    plain.add(stem)
+        if " ".join(pieces).split() != pieces:  # some are empty or hold white space
+            pieces = [p for p in pieces if p.split() == [p]]
+        # letters and the marks behind them are apart for the tokenizer, so most pieces with marks need no call
+        stems = [p.rstrip(MARKS) for p in pieces]
+        keys = [lead + s for s in stems] if lead else stems
+        todo = {s: k for s, k in zip(stems, keys) if k not in recent}
+        recent.update([(k, older[k]) for k in todo.values() if k in older])
+        new = [s for s, k in todo.items() if s.isalpha() and k not in recent]
+        found = self._each([space + s for s in new] if space else new)
+        recent.update(zip([lead + s for s in new] if lead else new, [before + i for i in found] if before else found))
+        for p, s, k in zip(pieces, stems, keys):
+            if p is s:
+                if k not in recent:
+                    recent[k] = before + self.whole(space + p)
+            elif s.isalpha():
+                recent[lead + p] = recent[k] + self.tails.of(p[len(s) :], self.whole)
             else:
-                plain.add(p)
-        words, lines = [p for p in plain if p[0] != "\n"], [p for p in plain if p[0] == "\n"]
-        if words:
-            recent.update(zip(words, self._each([" " + p for p in words])))
-        if lines:
-            recent.update((p, self.line + ids) for p, ids in zip(lines, self._each([p[1:] for p in lines])))
-        for p, stem in marked:
-            recent[p] = recent[stem] + self.tails.of(p[len(stem) :], self.whole)
+                recent[lead + p] = before + self.whole(space + p)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut: list[list[str] | None] = []
-        need: set[str] = set()
+        if len(self.recent) > CACHED_WORDS:  # the frequent come back from the older ones
+            self.recent, self.older = {}, self.recent
+        get, skip = self.recent.get, len(self.line)
+        pieces: list[str] = []
+        ends = []
         for t in texts:
-            pieces = None
-            if t and not any(a in t for a in self.added):
+            if t and self.cuttable and not any(a in t for a in self.added):
                 # a line break in front makes the first word a piece like the others
-                pieces = ("\n" + t).replace("\n", " \n").split(" ")
-                del pieces[0]
-                need.update(pieces)
-            cut.append(pieces)
-        self._learn(need)
-        get, out = self.recent.__getitem__, []
-        for t, pieces in zip(texts, cut):
-            try:
-                out.append(b"".join(map(get, pieces))[len(self.line) :] if pieces else self.whole(t))
-            except KeyError:
-                out.append(self.whole(t))
+                cut = ("\n" + t).replace("\n", " \n").split(" ")
+                del cut[0]
+                pieces += cut
+            ends.append(len(pieces))
+        ids = list(map(get, pieces))
+        absent, j = [], -1
+        try:
+            while True:
+                absent.append(j := ids.index(None, j + 1))
+        except ValueError:
+            pass
+        new = {pieces[j] for j in absent}
+        self._learn([p for p in new if p[:1] != "\n"], " ", b"", "")
+        self._learn([p[1:] for p in new if p[:1] == "\n"], "", self.line, "\n")
+        for j in absent:
+            ids[j] = get(pieces[j])
+        out = []
+        for t, a, b in zip(texts, [0, *ends], ends):
+            mine = ids[a:b] or [None]
+            out.append(self.whole(t) if None in mine else b"".join(mine)[skip:])
         return out
 
     def encode(self, text: str) -> bytes:
@@ -148,18 +162,22 @@ def encoder(path: str) -> Encoder:
 
 
 def dac_encode(ids: np.ndarray, width: int = WIDTH) -> bytes:
-    """Codes of a sequence of unsigned ids."""
-    levels, rest = [], np.asarray(ids, dtype=np.uint64)
+    """Codes of a sequence of unsigned ids; ``width`` is 8, 16 or 32."""
+    rest = np.asarray(ids)
+    rest = rest if rest.dtype == np.uint32 and width < 32 else rest.astype(np.uint64)
+    levels, step = [], rest.dtype.type(width)
     while True:
-        more = rest >> np.uint64(width)
-        on = more > 0
+        chunk = rest.astype(f"<u{width // 8}")  # the lowest bits
+        rest = rest >> step
+        on = rest != 0
         bits = np.packbits(on, bitorder="little")
-        ones = np.concatenate([[0], np.cumsum(np.add.reduceat(on.astype(np.int64), np.arange(0, len(on), DIRECTORY)))]) if len(on) else np.zeros(1)
-        chunk = (rest & np.uint64((1 << width) - 1)).astype(f"<u{width // 8}").tobytes()
-        levels.append(struct.pack("<QQQ", len(rest), len(bits), len(ones)) + ones.astype("<u8").tobytes() + bits.tobytes() + chunk)
+        counts = np.zeros(-(-len(on) // DIRECTORY) * (DIRECTORY // 8), np.uint8)
+        counts[: len(bits)] = np.bitwise_count(bits)
+        ones = np.append(0, np.cumsum(counts.reshape(-1, DIRECTORY // 8).sum(axis=1, dtype=np.int64)))
+        levels.append(struct.pack("<QQQ", len(on), len(bits), len(ones)) + ones.astype("<u8").tobytes() + bits.tobytes() + chunk.tobytes())
         if not on.any():
             break
-        rest = more[on]
+        rest = rest[on]
     return MAGIC + struct.pack("<HH", width, len(levels)) + b"".join(levels)
 
 
@@ -169,7 +187,7 @@ def _levels(blob: bytes):
     for _ in range(n_levels):
         n, n_bits, n_ones = struct.unpack_from("<QQQ", blob, at)
         at += 24
-        yield width, n, at, at + 8 * n_ones, at + 8 * n_ones + n_bits
+        yield width, n, at + 8 * n_ones, at + 8 * n_ones + n_bits
         at += 8 * n_ones + n_bits + n * (width // 8)
 
 
@@ -206,16 +224,17 @@ def dac_read(read: Callable[[int, int], bytes], i: int) -> int:
 def dac_decode(blob: bytes) -> np.ndarray:
     """All ids of a sequence."""
     out, where, shift = None, None, 0
-    for width, n, _, bits_at, data_at in _levels(blob):
-        chunk = np.frombuffer(blob, f"<u{width // 8}", n, data_at).astype(np.uint64)
-        on = np.unpackbits(np.frombuffer(blob, np.uint8, data_at - bits_at, bits_at), bitorder="little")[:n].astype(bool)
+    kind = np.dtype(np.uint32 if struct.unpack_from("<HH", blob, 4) in ((8, 1), (8, 2), (8, 3), (8, 4), (16, 1), (16, 2)) else np.uint64).type
+    for width, n, bits_at, data_at in _levels(blob):
+        chunk = np.frombuffer(blob, f"<u{width // 8}", n, data_at).astype(kind)
+        on = np.unpackbits(np.frombuffer(blob, np.uint8, data_at - bits_at, bits_at), bitorder="little")[:n].view(bool)
         if out is None:
-            out, where = chunk.copy(), np.flatnonzero(on)
+            out, where = chunk, np.flatnonzero(on)
         else:
-            out[where] |= chunk << np.uint64(shift)
+            out[where] |= chunk << kind(shift)
             where = where[on]
         shift += width
-    return out if out is not None else np.zeros(0, np.uint64)
+    return out
 
 
 SCHEMA = "part int, seq int, n_tokens long, ids array<long>, offsets array<long>, codes binary"
@@ -264,10 +283,9 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, id_col: str =
             yield flush()
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # the last two part the rows of one id, so that they needn't lie in one task
-    order = ["id", F.xxhash64("text"), F.monotonically_increasing_id()]
-    keyed = rows.select("id", "text", order[1].alias("h"), order[2].alias("row"))
-    ordered = keyed.repartitionByRange(parts, "id", "h", "row").sortWithinPartitions("id", "h", "row")
+    # the second key parts the rows of one id, so that they needn't lie in one task
+    keyed = rows.withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row")
     files = ordered.select("id", "text").mapInArrow(encode, SCHEMA).write
     with no_shuffles_left(spark):
         # plain bytes, so that codes can be read in place
