@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, no_shuffles_left, table
 
 WIDTH, SEGMENT, END_ID, DIRECTORY = 8, 1 << 20, 0, 512
-CACHED_WORDS, BLOCK = 400_000, 1 << 20  # pieces kept by a worker; characters encoded at once
+CACHED_WORDS, BLOCK = 500_000, 1 << 23  # pieces kept by a worker; bytes of text encoded at once
 BROADCAST_SEGMENTS = 200_000
 MAGIC = b"DAC1"
 MARKS = string.punctuation  # ASCII characters that are neither letters, digits nor white space
@@ -102,8 +103,8 @@ class Encoder:
         stems = [p.rstrip(MARKS) for p in pieces]
         keys = [lead + s for s in stems] if lead else stems
         todo = {s: k for s, k in zip(stems, keys) if k not in recent}
-        recent.update([(k, older[k]) for k in todo.values() if k in older])
-        new = [s for s, k in todo.items() if s.isalpha() and k not in recent]
+        recent.update([(k, older[k]) for s, k in todo.items() if k in older])
+        new = [s for s, k in todo.items() if k not in recent and s.isalpha()]
         found = self._each([space + s for s in new] if space else new)
         recent.update(zip([lead + s for s in new] if lead else new, [before + i for i in found] if before else found))
         for p, s, k in zip(pieces, stems, keys):
@@ -115,40 +116,57 @@ class Encoder:
             else:
                 recent[lead + p] = before + self.whole(space + p)
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def _ids_of(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces; None where one may not be encoded apart."""
         if len(self.recent) > CACHED_WORDS:  # the frequent come back from the older ones
             self.recent, self.older = {}, self.recent
-        get, skip = self.recent.get, len(self.line)
-        pieces: list[str] = []
-        ends = []
-        for t in texts:
-            if t and self.cuttable and not any(a in t for a in self.added):
-                # a line break in front makes the first word a piece like the others
-                cut = ("\n" + t).replace("\n", " \n").split(" ")
-                del cut[0]
-                pieces += cut
-            ends.append(len(pieces))
-        ids = list(map(get, pieces))
-        absent, j = [], -1
-        try:
-            while True:
-                absent.append(j := ids.index(None, j + 1))
-        except ValueError:
-            pass
-        new = {pieces[j] for j in absent}
+        recent, older = self.recent, self.older.get
+        ids = list(map(recent.get, pieces))
+        absent = [j for j, i in enumerate(ids) if i is None]
+        new = []
+        for j in absent:
+            p = pieces[j]
+            if (i := older(p)) is None:
+                new.append(p)
+            else:
+                recent[p] = i
         self._learn([p for p in new if p[:1] != "\n"], " ", b"", "")
         self._learn([p[1:] for p in new if p[:1] == "\n"], "", self.line, "\n")
         for j in absent:
-            ids[j] = get(pieces[j])
-        out = []
-        for t, a, b in zip(texts, [0, *ends], ends):
-            mine = ids[a:b] or [None]
-            out.append(self.whole(t) if None in mine else b"".join(mine)[skip:])
-        return out
+            ids[j] = recent.get(pieces[j])
+        return ids
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text (no nulls)."""
+        if not len(texts):
+            return []
+        apart = np.full(len(texts), not self.cuttable)
+        for a in self.added:
+            apart |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        # a line break in front makes the first word a piece like the others; before it is an empty piece
+        lines = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
+        cut = pc.split_pattern(lines, " ")
+        first = cut.offsets.to_numpy()[:-1].astype(np.int64)
+        pieces = pc.dictionary_encode(cut.flatten())
+        at, distinct = pieces.indices.to_numpy().astype(np.int64), pieces.dictionary.to_pylist()
+        known = self._ids_of(distinct)
+        n = np.array([-1 if i is None else len(i) // 4 for i in known], np.int64)
+        bad = n < 0
+        n[bad] = 0
+        flat, start = np.frombuffer(b"".join([i for i in known if i]), "<u4"), np.cumsum(n) - n
+        here, source = n[at], start[at]
+        bad = bad[at]
+        bad[first] = False
+        source[first + 1] += 1  # without the added line break
+        here[first + 1] -= ~bad[first + 1]
+        ends = np.cumsum(here)
+        ids = flat[np.repeat(source - (ends - here), here) + np.arange(ends[-1])].tobytes()
+        apart |= np.add.reduceat(bad, first) > 0
+        stops = [0, *(4 * ends[np.append(first[1:], len(at)) - 1]).tolist()]
+        return [self.whole(texts[j].as_py()) if w else ids[a:b] for j, (w, a, b) in enumerate(zip(apart.tolist(), stops, stops[1:]))]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -240,16 +258,13 @@ def dac_decode(blob: bytes) -> np.ndarray:
 SCHEMA = "part int, seq int, n_tokens long, ids array<long>, offsets array<long>, codes binary"
 
 
-def _blocks(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
-    """The same in blocks of about ``BLOCK`` characters."""
-    a = size = 0
-    for b, t in enumerate(texts):
-        size += len(t)
-        if size >= BLOCK:
-            yield keys[a : b + 1], texts[a : b + 1]
-            a, size = b + 1, 0
-    if a < len(texts):
-        yield keys[a:], texts[a:]
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of ids and texts, of about ``BLOCK`` bytes of text."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
 
 
 def write_tokens(documents: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
@@ -270,8 +285,8 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, id_col: str =
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_tokens", "ids", "offsets", "codes"])
 
         for batch in batches:
-            for keys, texts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, b in zip(keys, enc.encode_all(texts)):
+            for block in _blocks(batch):
+                for i, b in zip(block.column(0).to_pylist(), enc.encode_all(block.column(1))):
                     held += [b, end]
                     n += len(b) // 4 + 1
                     ids.append(i)

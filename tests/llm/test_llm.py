@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -448,7 +449,7 @@ def test_encoder():
 def test_encoder_blocks(texts):
     """Whatever was encoded before, a text has the ids of the tokenizer's plain call."""
     e = token_file.encoder(token_file.vocabulary_path())
-    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode_all(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode_all(pa.array(texts, pa.string()))] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_tokens_read_in_place(spark, docs, tmp_path):
