@@ -27,8 +27,8 @@ MAX_WORDS = 16384
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -187,8 +187,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH rules(action, h, p) AS (VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('block','net','/de/'),
-  ('allow','example.net','/de/8'), ('block','org','/es/')),
+WITH rules(action, h, p) AS (VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('allow','net','/de/'),
+  ('block','example.net','/de/8'), ('block','org','/es/')),
 u AS (SELECT page_id,
   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
