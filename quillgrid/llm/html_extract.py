@@ -4,15 +4,20 @@ The page is parsed into a tree with the usual repairs of unclosed elements.  Eve
 points for its length and its commas to its ancestors, a half less with each step, discounted by the
 share of its text that is in links.  The container with most points is kept (or the article or main
 element around it), with those of its siblings that carry text or score well.  Menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles are taken out before the scoring.
+sidebars, notices, adverts, forms, comments, scripts and styles are taken out before the scoring; so is a
+header within an article, with what it holds.
+
+The work grows in proportion to the page: lengths, commas and points are passed up once, from the leaves
+to the root, and an end tag without an open element costs one look-up.
 
 Null counts as an empty page, which has an empty text; markup that stops in the middle is read as far
-as it goes.  An empty table gives no rows, repeated rows give the same text, extra columns stay.
+as it goes, and an unfinished tag or declaration is not text.  Unknown declarations count as comments.  An empty table gives no rows, repeated rows give the same text, extra columns stay.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -51,13 +56,17 @@ CLOSES = {
 P_BOUNDS = frozenset("html body article main section div td th table li blockquote header footer aside nav form button object".split())
 
 
+SCOPES = frozenset("article main td th table".split())
+UNFINISHED = re.compile(r"<[!?/a-zA-Z]")
+
+
 class Node:
-    __slots__ = ("tag", "dropped", "kids", "parent", "points", "n", "linked", "place")
+    __slots__ = ("tag", "dropped", "kids", "parent", "points", "n", "linked", "commas", "place")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.kids: list = []
-        self.points, self.n, self.linked, self.place = 0.0, 0, 0, 0
+        self.points, self.n, self.linked, self.commas, self.place = 0.0, 0, 0, 0, 0
 
 
 def _unwanted(tag: str, attrs: list) -> bool:
@@ -82,12 +91,41 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        # how many elements of a tag are open, in all and below the last element that inline end tags do not leave
+        self.open, self.inside = Counter(), [Counter()]
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
+    def _enter(self, node: Node) -> None:
+        self.at.kids.append(node)
+        self.at = node
+        self.open[node.tag] += 1
+        if node.tag in SCOPES:
+            self.inside.append(Counter())
+        else:
+            self.inside[-1][node.tag] += 1
+
+    def _leave(self, node: Node) -> None:
+        """Close ``node`` and all that is open in it."""
+        while True:
+            x = self.at
+            self.at = x.parent
+            self.open[x.tag] -= 1
+            if x.tag in SCOPES:
+                self.inside.pop()
+            else:
+                self.inside[-1][x.tag] -= 1
+            if x is node:
+                return
 
     def _close(self, tags, bounds) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         node = self.at
         while node.parent is not None and node.tag not in bounds:
             if node.tag in tags:
-                self.at = node.parent
+                self._leave(node)
                 return
             node = node.parent
 
@@ -101,9 +139,7 @@ class Tree(HTMLParser):
             self._close(("p",), P_BOUNDS)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        node = Node(tag, self.at, _unwanted(tag, attrs))
-        self.at.kids.append(node)
-        self.at = node
+        self._enter(Node(tag, self.at, _unwanted(tag, attrs)))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -111,13 +147,13 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if not (self.open[tag] if tag in BLOCK else self.inside[-1][tag]):
+            return
         node = self.at
-        while node.parent is not None and node.tag != tag:
-            if node.tag in ("article", "main", "td", "th", "table") and tag not in BLOCK:
-                return
+        while node.tag != tag:
             node = node.parent
         if node.parent is not None:
-            self.at = node.parent
+            self._leave(node)
 
     def handle_data(self, data):
         if data:
@@ -127,6 +163,8 @@ class Tree(HTMLParser):
 def parse(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
+    if UNFINISHED.match(tree.rawdata):
+        tree.rawdata = ""
     tree.close()
     return tree.root
 
@@ -143,13 +181,14 @@ def _walk(root: Node):
 
 
 def _measure(nodes: list[Node]) -> None:
-    """Length of the text of each element and of its links, from the leaves up."""
+    """Length and commas of the text of each element, and length of its links, from the leaves up."""
     for i, node in enumerate(nodes):
         node.place = i
     for node in reversed(nodes):
         own = sum(len("".join(k.split())) for k in node.kids if isinstance(k, str))
         kids = [k for k in node.kids if isinstance(k, Node) and not k.dropped]
         node.n = own + sum(k.n for k in kids)
+        node.commas = sum(k.count(",") for k in node.kids if isinstance(k, str)) + sum(k.commas for k in kids)
         node.linked = node.n if node.tag == "a" else sum(k.linked for k in kids)
 
 
@@ -169,18 +208,21 @@ def _inline_text(node: Node) -> str:
 
 
 def _score(nodes: list[Node]) -> None:
-    for node in nodes:
-        direct = node.tag in PARAGRAPH or node.tag in LISTS | KEPT and any(isinstance(k, str) and k.strip() for k in node.kids)
-        if not direct or not node.n:
-            continue
-        text = _inline_text(node) if node.tag in PARAGRAPH else " ".join(k for k in node.kids if isinstance(k, str))
-        points = (min(1.0, node.n / 25) + text.count(",") + min(node.n / 100, 3.0)) * (1 - _density(node))
-        up, share = (node.parent, 1.0) if node.tag in PARAGRAPH else (node, 1.0)
-        while up is not None:
-            if up.tag not in PARAGRAPH or up.tag in ("td", "li", "dd", "blockquote"):
-                up.points += points * share
-                share /= 2
-            up = up.parent
+    """Pass points up, from the leaves: what reaches an element that takes points goes on by half."""
+    passed: dict[Node, float] = {}
+    for node in reversed(nodes):
+        points = 0.0
+        if node.n and (node.tag in PARAGRAPH or node.tag in LISTS | KEPT and any(isinstance(k, str) and k.strip() for k in node.kids)):
+            commas = node.commas if node.tag in PARAGRAPH else sum(k.count(",") for k in node.kids if isinstance(k, str))
+            points = (min(1.0, node.n / 25) + commas + min(node.n / 100, 3.0)) * (1 - _density(node))
+        up = passed.pop(node, 0.0) + (0.0 if node.tag in PARAGRAPH else points)
+        if node.tag not in PARAGRAPH or node.tag in ("td", "li", "dd", "blockquote"):
+            node.points += up
+            up /= 2
+        if node.tag in PARAGRAPH:
+            up += points
+        if up and node.parent is not None:
+            passed[node.parent] = passed.get(node.parent, 0.0) + up
 
 
 def _blocks(root: Node, out: list[str], lists: bool = True) -> None:
