@@ -76,15 +76,16 @@ class LanguageModel:
     def paths(self, rows: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarray]:
         """Best language of each word for each array of word scores, all texts step by step together."""
         order = [i for i in sorted(range(len(rows)), key=lambda i: -len(rows[i])) if len(rows[i])]
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(rows)
+        kind = np.min_scalar_type(len(self.langs))
+        out: list[np.ndarray] = [np.zeros(0, kind)] * len(rows)
         if not order:
             return out
         sizes = np.array([len(rows[i]) for i in order])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         flat = np.concatenate([rows[i] for i in order])
         alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts with more than t words
-        stay, best = np.zeros(flat.shape, bool), np.zeros(len(flat), np.int8)
-        last = np.zeros(len(order), np.int8)
+        stay, best = np.zeros(flat.shape, bool), np.zeros(len(flat), kind)
+        last = np.zeros(len(order), kind)
         state = flat[starts]
         for t in range(len(alive)):
             a = alive[t]
@@ -98,7 +99,7 @@ class LanguageModel:
             ends = alive[t + 1] if t + 1 < len(alive) else 0
             if ends < a:
                 last[ends:a] = state[ends:a].argmax(1)
-        path, now = np.zeros(len(flat), np.int8), last.copy()
+        path, now = np.zeros(len(flat), kind), last.copy()
         for t in range(len(alive) - 1, -1, -1):
             at, cur = starts[: alive[t]] + t, now[: alive[t]]
             path[at] = cur
