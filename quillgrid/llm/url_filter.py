@@ -6,8 +6,9 @@ that level 2 takes for those, and so on until no false positive is left.  The co
 universe is known here (host suffixes with path prefixes of its urls), so no join is needed to judge
 a url: the levels are a few words of bits inside the expression.
 
-Only DataFrame functions are used.  A list too long for literals (``MAX_WORDS`` words of bits in a
-level) is matched by an exact semi join instead.
+Only DataFrame functions are used.  The bits of a level are one constant of the plan, at most
+``MAX_WORDS`` words (32 MB, some ten million listed keys); a list beyond that is matched by an exact
+join instead.  The tables that the levels are built from are deleted once they are built.
 
 Null, empty or odd urls: without ``://`` host and path are empty, and such a url has no keys.  An
 empty table gives an empty table; other columns are not touched, repeated rows stay.
@@ -20,9 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import Scratch, ascii_lower, table
 
-MAX_WORDS = 16384
+MAX_WORDS = 1 << 22
 
 RULES = [
     ("block", "com", "/en/"),
@@ -73,7 +74,8 @@ class Level:
         self.words, self.n_hash, self.seed = words, n_hash, seed
 
     def holds(self, key: Column) -> Column:
-        arr, bits = F.array(*[F.lit(w).cast("long") for w in self.words]), len(self.words) * 64
+        # folded to one array before the query runs
+        arr, bits = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>"), len(self.words) * 64
         out = F.lit(True)
         for i in range(self.n_hash):
             pos = _position(key, self.seed * 100 + i, bits)
@@ -103,25 +105,28 @@ def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, n_universe: int) -> list[Level] | None:
-    """Levels for the keys (column k) of ``listed`` over ``universe``; None if they are too many for literals."""
-    inside = listed.select("k").distinct().cache()
+    """Levels for the keys (column k) of ``listed`` over ``universe``; None if they are too many for constants."""
+    scratch = Scratch(listed.sparkSession)
+    inside = scratch.table(listed.select("k").distinct(), "keys")
     n = inside.count()
     if not n:
+        scratch.drop()
         return []
     rate = min(0.5, max(1e-9, n * math.sqrt(0.5) / max(n_universe, 1)))
     if n * -math.log2(rate) / math.log(2) / 64 > MAX_WORDS:
+        scratch.drop()
         return None
     levels = [_level(inside, n, rate, 1)]
-    # what level 1 wrongly takes for listed: the list is as small as the rules, so the anti join is cheap
-    outside = universe.filter(levels[0].holds(F.col("k"))).select("k").distinct().join(inside, "k", "left_anti").cache()
-    mine, other = inside, outside
-    m = other.count()
-    while m:
+    # what level 1 wrongly takes for listed: as small as the rules
+    taken = universe.filter(levels[0].holds(F.col("k"))).select("k").distinct()
+    mine, other = inside, scratch.table(taken.join(inside, "k", "left_anti"), "keys")
+    while m := other.count():
         if m * 1.5 / 64 > MAX_WORDS:
+            scratch.drop()
             return None
         levels.append(_level(other, m, 0.5, len(levels) + 1))
-        mine, other = other, mine.filter(levels[-1].holds(F.col("k"))).cache()
-        m = other.count()
+        mine, other = other, scratch.table(mine.filter(levels[-1].holds(F.col("k"))), "keys")
+    scratch.drop()
     return levels
 
 

@@ -349,6 +349,52 @@ def test_html_pages(spark):
 # 6
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<p>a</p><![foo[x]]>", "a"), ("<p>x</p><!DOCTYPE [", "x"), ("<p>x</p><div class=", "x"), ("<p>x</p><!-- y", "x"), ("<p>1 < 2 & 3</p>", "1 < 2 & 3"),
+    ("<ul><li>" * 5000 + "x", "x"), ("<p>a</p>" + "<span>" * 5000 + "</b>" * 5000, "a"), ("<b><table><td>" + "<i>" * 5000 + "</b>" * 5000 + "z", "z"),
+    ("<p>one</i></b></p></p></div><p>two</p>", "one\ntwo"),
+])
+def test_html_malformed_and_deep(html, text):
+    import time
+
+    start = time.perf_counter()
+    assert html_extract.main_text(html) == text and time.perf_counter() - start < 3
+
+
+def test_html_points_by_hand():
+    """Points as the naive walk over all ancestors gives them."""
+    html = "<div><div><p>" + "a, b, c " * 9 + "</p><ul><li>one, two <p>three, four</p></li></ul>own, text</div><p>x, y</p></div><section><blockquote>q, <i>r</i></blockquote></section>"
+    root = html_extract.parse(html)
+    nodes = list(html_extract._walk(root))
+    html_extract._measure(nodes)
+    html_extract._score(nodes)
+    want = dict.fromkeys(nodes, 0.0)
+    for node in nodes:
+        para = node.tag in html_extract.PARAGRAPH
+        own = [k for k in node.kids if isinstance(k, str) and k.strip()]
+        if not node.n or not (para or own and node.tag in html_extract.LISTS | html_extract.KEPT):
+            continue
+        text = html_extract._inline_text(node) if para else " ".join(own)
+        points = (min(1, node.n / 25) + text.count(",") + min(node.n / 100, 3)) * (1 - html_extract._density(node))
+        up, share = node.parent if para else node, 1
+        while up is not None:
+            if up.tag not in html_extract.PARAGRAPH or up.tag in ("td", "li", "dd", "blockquote"):
+                want[up] += points * share
+                share /= 2
+            up = up.parent
+    assert all(abs(n.points - want[n]) < 1e-9 for n in nodes) and max(want.values()) > 5
+
+
+def test_language_many():
+    """More languages than a signed byte counts."""
+    langs = [f"l{i:03}" for i in range(300)]
+    model = language.LanguageModel(langs, {}, np.zeros((0, 300)), {})
+    rows = np.full((4, 300), -1.0)
+    rows[:2, 299], rows[2:, 140] = 50, 50
+    path = model.paths([rows])[0]
+    assert path.tolist() == [299, 299, 140, 140] and language.spans(list("abcd"), path, langs) == [(0, 2, "l299"), (2, 4, "l140")]
+
+
 def test_language(spark, docs):
     model = language.learn(docs)
     got = language.with_language(docs.withColumn("h", held_out(F.col("doc_id"), 3, 1)), model).filter("h AND lang IS NOT NULL").toPandas()
@@ -525,6 +571,14 @@ def test_cascade_is_exact(spark):
     assert wrong == 0 and len(levels) > 1
 
 
+def test_cascade_of_many_words(spark):
+    """A list whose level has thousands of words of bits."""
+    universe = spark.range(60_000).select(F.concat(F.lit("k"), "id").alias("k"))
+    levels = url_filter.build_cascade(universe.filter("crc32(k) % 2 = 0"), universe, 60_000)
+    assert len(levels[0].words) > 600
+    assert universe.filter(url_filter.member(levels, F.col("k")) != (F.crc32("k") % 2 == 0)).count() == 0
+
+
 def test_long_lists_by_join(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MAX_WORDS", 0)
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
