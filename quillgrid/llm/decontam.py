@@ -8,10 +8,12 @@ document's bounds, and the words are compared.  A window with a pair that no doc
 before that join.
 
 Only DataFrame functions are used.  The benchmark side is broadcast if it has at most
-``BROADCAST_WINDOWS`` windows (counted), else Spark joins by shuffle.
+``BROADCAST_WINDOWS`` windows (counted).  Beyond that the documents' words are written once, only word
+pairs with their places go through the shuffles, and the words of a document are fetched for the places
+that remain.
 
-Null and empty texts have no words; an item without words has no window.  Repeated rows are judged
-one by one.  An empty benchmark or an empty table gives clean rows or none.
+Null and empty texts have no words; an item without words has no window, and one without id none either.
+Repeated rows are judged one by one.  An empty benchmark or an empty table gives clean rows or none.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, materialise, table
 
 WINDOW = 10
 BROADCAST_WINDOWS = 100_000
@@ -54,14 +56,15 @@ def _pair(a: Column, b: Column) -> Column:
 
 def find_windows(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document row: row (its place in the scan), id, n_words, spans (start, end of each occurrence, 0-based), items."""
-    win = _windows(benchmark, item_col, item_text, size).cache()
+    """Per document row: row (its place in the scan), id, digest (of its text), n_words, spans (start, end of each occurrence, 0-based), items."""
+    win = materialise(_windows(benchmark, item_col, item_text, size), "windows")
     n_win = win.count()
     small = n_win <= BROADCAST_WINDOWS
     hint = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    docs = documents.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("ws")
-    )
+    text = F.col(text_col)
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), words(text).alias("ws"))
+    if not small:
+        docs = materialise(docs, "words")
     # all pairs of the windows; a one-word window has the pair of its word and nothing
     pairs = win.select("w", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("len") - 1)), lambda i: _pair(F.get("w", i - 1), F.get("w", i))))
@@ -83,31 +86,48 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW,
         )
     else:
         chosen = win.select(F.lit(0).cast("long").alias("tok"), F.lit(0).alias("off"), "len", "w", "items")
+    n = F.size("ws")
+    start = F.col("pos") - F.col("off")
+    span = F.struct(start.alias("start"), (start + F.col("len")).alias("end")).alias("span")
+    per_row = [F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"),
+               F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")]
+    if not small:
+        return _by_shuffle(docs, chosen, single).groupBy("row", "id", "digest").agg(*per_row)
     # each document also sends one row with its number of words, by way of an entry of length 0
     spark = documents.sparkSession
     mark = spark.range(1).select(
         F.lit(0).cast("long").alias("tok"), F.lit(0).alias("off"), F.lit(0).alias("len"),
         F.array().cast("array<string>").alias("w"), F.array().cast("array<string>").alias("items"),
     )
-    rare = hint(chosen.unionByName(mark))
-    n = F.size("ws")
-    pos = docs.select("row", "id", "ws", F.posexplode(F.concat(F.col("ws"), F.array(F.lit("")))).alias("pos", "x"))
+    rare = F.broadcast(chosen.unionByName(mark))
+    pos = docs.select("row", "id", "digest", "ws", F.posexplode(F.concat(F.col("ws"), F.array(F.lit("")))).alias("pos", "x"))
     # the words stay a reference inside the fused stage from here to the comparison: no operator may stand between
     pair = F.when(F.col("pos") == n, F.lit(0).cast("long")).otherwise(_pair(F.col("x"), F.get("ws", F.col("pos") + 1)))
     alone = F.when(F.col("pos") < n - 1, _pair(F.col("x"), F.lit(None).cast("string")))  # the last word's pair is that already
-    token = pos.select("row", "id", "ws", "pos", (F.explode(F.array(pair, alone)) if single else pair).alias("tok"))
-    start = F.col("pos") - F.col("off")
+    token = pos.select("row", "id", "digest", "ws", "pos", (F.explode(F.array(pair, alone)) if single else pair).alias("tok"))
     fits = F.when(F.col("len") == 0, F.col("pos") == n).otherwise(
         (start >= 0) & (start + F.col("len") <= n) & (F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("w"))
     )
     hit = token.join(rare, "tok").filter(fits).select(
-        "row", "id", F.when(F.col("len") == 0, F.col("pos")).alias("n_words"),
-        F.when(F.col("len") > 0, F.struct(start.alias("start"), (start + F.col("len")).alias("end"))).alias("span"), "items",
-    )
-    return hit.groupBy("row", "id").agg(
-        F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        "row", "id", "digest", F.when(F.col("len") == 0, F.col("pos")).alias("n_words"), F.when(F.col("len") > 0, span).alias("span"), "items",
     )
+    return hit.groupBy("row", "id", "digest").agg(*per_row)
+
+
+def _by_shuffle(docs: DataFrame, chosen: DataFrame, single: bool) -> DataFrame:
+    """Rows as above for benchmarks beyond a broadcast; ``docs`` is a written table."""
+    n = F.size("ws")
+    at = docs.select("row", F.posexplode("ws").alias("pos", "x"), "ws")
+    pair = _pair(F.col("x"), F.get("ws", F.col("pos") + 1))
+    alone = F.when(F.col("pos") < n - 1, _pair(F.col("x"), F.lit(None).cast("string")))
+    token = at.select("row", "pos", n.alias("n"), (F.explode(F.array(pair, alone)) if single else pair).alias("tok"))
+    start = (F.col("pos") - F.col("off")).alias("start")
+    places = token.join(chosen, "tok").filter((start >= 0) & (start + F.col("len") <= F.col("n"))).select("row", start, "len", "w", "items")
+    same = F.slice("ws", F.col("start") + 1, F.col("len")) == F.col("w")
+    found = places.join(docs.select("row", "id", "digest", "ws"), "row").filter(same)
+    span = F.struct("start", (F.col("start") + F.col("len")).alias("end"))
+    none = docs.select("row", "id", "digest", n.alias("n_words"), F.lit(None).cast("struct<start:int,end:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
+    return none.unionByName(found.select("row", "id", "digest", F.lit(None).cast("int").alias("n_words"), span.alias("span"), "items"))
 
 
 def covered(spans: Column) -> Column:
@@ -125,9 +145,10 @@ def covered(spans: Column) -> Column:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``documents`` (all columns) without the rows that hold a window of ``benchmark``."""
-    hits = find_windows(documents, benchmark, size).filter(F.size("spans") > 0).select(F.col("id").alias("__hit")).distinct()
-    return documents.join(hits, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    """``documents`` (all columns) without the rows that hold a window of ``benchmark``; other texts under the id of such a row stay."""
+    hits = find_windows(documents, benchmark, size).filter(F.size("spans") > 0).select(F.col("id").alias("__hit"), F.col("digest").alias("__digest")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__digest"))
+    return documents.join(hits, same, "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
