@@ -8,8 +8,9 @@ shard the documents stand in seeded order; whole passes are taken first, then co
 seeded block's start on.  So the result depends on the rows and the seed alone, and a hot source is spread over its shards.
 
 Null texts have no words, nothing is taken of them; null sources form one source; repeated rows count
-each; an empty table gives no rows; extra columns are not read.  Only sums by source and by shard
-(one shard for every ``SHARD_DOCS`` documents) reach the driver.
+each, and of equal rows it is not told which is taken more often; an empty table gives no rows; extra
+columns are not read.  The sums of the sources, and those of at most ``MAX_SHARDS`` shards besides one a
+source, reach the driver as arrays.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-WEIGHTS, MAX_EPOCHS, BLOCKS, SHARD_DOCS, SEED = (1, 2, 3), 3, 20_000, 16_384, 17
+WEIGHTS, MAX_EPOCHS, BLOCKS, SEED = (1, 2, 3), 3, 20_000, 17
+SHARD_DOCS, MAX_SHARDS = 2048, 16_384
 BROADCAST_ROWS = 200_000
 
 
@@ -79,40 +81,46 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """id, source, size, source_size, target, taken of every row."""
     spark = documents.sparkSession
-    rows = materialise(
-        documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).cast("long").alias("size")), "mix"
-    )
-    sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    sources.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r["size"] for r in sources]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], max_epochs)
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    rows = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).cast("long").alias("size"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "mix")
+    sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toPandas()
+    sources["none"] = sources["source"].isna()
+    sources = sources.sort_values(["none", "source"], key=lambda c: c.map(lambda v: v or "") if c.name == "source" else c, ignore_index=True)
+    sizes = sources["size"].tolist()
+    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], max_epochs)
     total = sum(sizes)
     block = max(1, total // blocks)
-    quota = sainte_lague(goal, total)
-    by_source = spark.createDataFrame(
-        [(r.source, r["size"], float(g), max(1, -(-r.n // shard_docs))) for r, g in zip(sources, goal)],
-        "source string, source_size long, target double, shards int",
-    )
-    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
-    s = by_source.withColumnRenamed("source", "__s")
+    # one shard for every shard_docs documents, or fewer and larger ones: MAX_SHARDS in all besides one a source
+    each = max(shard_docs, -(-int(sources["n"].sum()) // MAX_SHARDS))
+    sources["shards"] = np.maximum(1, -(-sources["n"].to_numpy(np.int64) // each))
+    sources["target"] = np.array(goal, np.float64)
+    sources["words"] = sainte_lague(goal, total)
+    sources["place"] = np.arange(len(sources))
+    named = [None if none else v for none, v in zip(sources["none"], sources["source"])]
+    fields = zip(named, sizes, sources["target"].tolist(), sources["shards"].tolist(), sources["place"].tolist())
+    s = spark.createDataFrame(list(fields), "__s string, source_size long, target double, shards int, place int")
     placed = rows.join(small(s, len(sources)), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("shards")).cast("int"))
-    parts = placed.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect()
-    parts.sort(key=lambda r: (r.source is None, r.source or "", r.shard))
-    of = {r.source: q for r, q in zip(sources, quota)}
-    plan, at = [], 0
-    while at < len(parts):
-        to = at
-        while to < len(parts) and parts[to].source == parts[at].source:
-            to += 1
-        for r, q in zip(parts[at:to], sainte_lague([r["size"] for r in parts[at:to]], int(of[parts[at].source]))):
-            words = min(int(q), max_epochs * r["size"])
-            n_blocks = max(1, -(-r["size"] // block))
-            plan.append((r.source, r.shard, r["size"], words, int(np.random.default_rng([seed, r.shard, len(plan)]).integers(n_blocks)) * block))
-        at = to
-    p = spark.createDataFrame(plan, "__s string, __h int, shard_size long, words long, first long")
-    joined = placed.join(small(p, len(plan)), F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__h"))).drop("__s", "__h")
-    w = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    # rows without id, and those of an id with more rows than a shard, are dealt out by their places
+    many = rows.groupBy("id").agg(F.count("*").alias("m")).filter(F.col("id").isNull() | (F.col("m") > each)).select(F.col("id").alias("__i"))
+    many = materialise(many, "ids")
+    placed = placed.join(small(many.withColumn("often", F.lit(True)), many.count()), F.col("id").eqNullSafe(F.col("__i")), "left").drop("__i")
+    salt = F.when(F.col("often"), F.col("row")).otherwise(F.lit(0))
+    placed = placed.withColumn("salt", salt).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id", "salt"), F.col("shards")).cast("int"))
+    parts = placed.groupBy("place", "shard").agg(F.sum("size").alias("size")).toPandas().sort_values(["place", "shard"], ignore_index=True)
+    places, held = parts["place"].to_numpy(), parts["size"].to_numpy(np.int64)
+    cuts = np.flatnonzero(np.diff(places, prepend=-1, append=-1))
+    words = np.zeros(len(parts), np.int64)
+    for a, b in zip(cuts, cuts[1:]):
+        words[a:b] = sainte_lague(held[a:b], int(sources["words"][places[a]]))
+    parts["words"] = np.minimum(words, max_epochs * held)
+    start = np.random.default_rng(seed).integers(0, 1 << 62, len(parts))
+    parts["first"] = start % np.maximum(1, -(-held // block)) * block
+    p = spark.createDataFrame(parts.rename(columns={"place": "__p", "shard": "__h", "size": "shard_size"}),
+                              "__p int, __h int, shard_size long, words long, first long")
+    joined = placed.join(small(p, len(parts)), (F.col("place") == F.col("__p")) & (F.col("shard") == F.col("__h"))).drop("__p", "__h")
+    order = [F.xxhash64(F.lit(seed + 1), "id", "salt"), "id", "size", "row"]
+    w = Window.partitionBy("place", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("size").over(w)
     rest = F.col("words") % F.greatest("shard_size", F.lit(1))
     over = lambda a, b: F.greatest(F.lit(0), F.least("end", b) - F.greatest(F.col("end") - F.col("size"), a))

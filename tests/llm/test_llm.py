@@ -71,6 +71,18 @@ def test_toxicity(spark):
     assert got.groupby("toxic")["score"].mean().diff().iloc[-1] > 0.3
 
 
+def test_toxicity_by_hand(spark):
+    """Bias, weights and the dot products of all pairs of terms, summed one by one."""
+    rng = np.random.default_rng(3)
+    model = toxicity.FactorisationMachine(list(range(12)))
+    model.bias, model.w = 0.3, rng.normal(size=12)
+    model.v = rng.normal(size=(12, 4))
+    for _ in range(20):
+        ids = sorted(rng.choice(12, int(rng.integers(0, 7)), replace=False).tolist())
+        want = model.bias + sum(model.w[i] for i in ids) + sum(model.v[i] @ model.v[j] for i, j in combinations(ids, 2))
+        assert abs(model.raw(ids) - want) < 1e-9
+
+
 def test_machine_learns_pairs():
     """Neither term alone is toxic, only both: additive weights cannot tell, the products can."""
     rng = np.random.default_rng(1)
@@ -295,6 +307,45 @@ def test_mix(spark, docs):
     assert ((g["taken"] - g["target"]).abs() <= np.maximum(0.01 * g["target"], 5)).all()
 
 
+def brute_taken(docs, shards, quotas, firsts):
+    """Words taken of each document by walking word by word through each shard."""
+    out = defaultdict(int)
+    for s, members in shards.items():
+        words = [i for i, n in members for _ in range(n)]
+        for k in range(quotas[s]):
+            out[words[(firsts[s] + k) % len(words)]] += 1
+    return out
+
+
+def test_mix_walks_words(spark):
+    """Taken words against a plain walk from the seeded start, for one source and one shard, repeats included."""
+    ensure_workers(spark)
+    rows = [(i, "a", "w " * (i % 5)) for i in range(1, 30)] + [(i, "b", "w " * 7) for i in range(100, 104)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.id: r for r in mixing.mix(df).collect()}
+    for source in "ab":
+        mine = {i: len(t.split()) for i, s, t in rows if s == source}
+        quota = sum(got[i].taken for i in mine)
+        assert abs(quota - got[min(mine)].target) <= 1
+        matches = []
+        order = spark.createDataFrame([(i,) for i in mine], "id long").orderBy(F.xxhash64(F.lit(mixing.SEED + 1), "id", F.lit(0).cast("long")), "id").collect()
+        walk = [(r.id, mine[r.id]) for r in order]
+        for first in range(sum(mine.values())):
+            taken = brute_taken(mine, {0: walk}, {0: quota}, {0: first})
+            matches.append(all(taken[i] == got[i].taken for i in mine))
+        assert any(matches)
+
+
+def test_mix_without_ids(spark):
+    """Rows without id and of one id are dealt to shards like others."""
+    ensure_workers(spark)
+    rows = [(None if i % 2 else 5, "a", "w w w") for i in range(3 * mixing.SHARD_DOCS)] + [(9, "b", "w " * 900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
+    assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
+    g = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(g["taken"] - g["target"]) <= 1).all()
+
+
 def test_mix_odd(odd, none):
     got = mixing.mix(odd).toPandas()
     assert len(got) == len(ODD) and (got["taken"] <= 3 * got["size"]).all() and mixing.mix(none).count() == 0
@@ -431,6 +482,21 @@ def test_language_odd(odd, none):
 # 7
 
 
+def test_quality_by_hand(spark, docs):
+    """The lookup tables, added bin by bin in plain Python, and the same bits however rows are dealt."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model, again = (quality.learn(d, labels) for d in (docs, docs.repartition(7)))
+    got = {r.doc_id: r.score for r in quality.with_quality(docs.select("doc_id", "text"), model).collect()}
+    two = {r.doc_id: r.score for r in quality.with_quality(docs.select("doc_id", "text"), again).collect()}
+    assert got == two
+    for r in docs.limit(50).collect():
+        x = quality.features(r.text)
+        place = lambda edges, v: sum(e <= v for e in edges)
+        f = model.bias + sum(t[place(e, v)] for e, t, v in zip(model.edges, model.tables, x))
+        f += sum(t[place(model.coarse[i], x[i]), place(model.coarse[j], x[j])] for i, j, t in model.pairs)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-f))) < 1e-9
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.with_quality(docs, quality.learn(docs, labels), name="q").join(labels, "doc_id").select("q", "quality").toPandas()
@@ -455,6 +521,25 @@ def test_quality_odd(odd, none):
 # 8
 
 
+def test_decontamination_by_shuffle(spark, docs, odd, none, monkeypatch):
+    """The way beyond a broadcast gives the same rows."""
+    ensure_workers(spark)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(-1, "w"), (None, "a b c d")], "item_id long, text string"))
+    one = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    pick = lambda: sorted(map(repr, decontam.find_windows(one, bench).select("id", "n_words", "spans", "items").collect()))
+    want = pick()
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    assert pick() == want and sum("start=" in r for r in want) > 5
+    assert decontam.find_windows(none, bench).count() == 0
+
+
+def test_decontaminate_keeps_other_texts_of_an_id(spark):
+    rows = [(1, "a b c d e f g h i j k"), (1, "quite another text"), (None, "a b c d e f g h i j"), (None, "x")]
+    item = spark.createDataFrame([("t", "A b c d e f g h i j")], "item_id string, text string")
+    left = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), item)
+    assert sorted(r.text for r in left.collect()) == ["quite another text", "x"]
+
+
 def test_decontamination_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, "B c, D"), (2, None), (3, ""), (4, "x"), (5, "not there"), (6, " ".join("w" for _ in range(12)))], "item_id long, text string")
     got = {(r.id, r.n_words, tuple((s.start, s.end) for s in r.spans[:2]), tuple(r["items"])) for r in decontam.find_windows(odd, bench).collect()}
