@@ -529,7 +529,7 @@ def test_decontamination_by_shuffle(spark, docs, odd, none, monkeypatch):
     pick = lambda: sorted(map(repr, decontam.find_windows(one, bench).select("id", "n_words", "spans", "items").collect()))
     want = pick()
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
-    assert pick() == want and sum("start=" in r for r in want) > 5
+    assert pick() == want and sum("start=" in r for r in want) > 3
     assert decontam.find_windows(none, bench).count() == 0
 
 
