@@ -7,11 +7,11 @@ for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.llm import decontam, mixing, ngram_join, quality, token_file
-from quillgrid.llm.common import fresh_path, table
+from quillgrid.llm.common import fresh_path, no_shuffles_left, table
 from quillgrid.session import ensure_workers
 
 
@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group that five-word shingle links of Jaccard 0.8 join."""
+    """The smallest id of each group that five-word shingle links of Jaccard 0.8 join; one row of each id, and all rows without id."""
     return ngram_join.one_of_each_group(docs)
 
 
@@ -36,12 +36,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Whole documents as often as the mix takes them; where a selection cuts one, it counts if at least half is taken."""
     taken = mixing.mix(docs).select(F.col("id").alias("__id"), F.col("size").alias("__size"), mixing.copies(F.col("taken"), F.col("size")).alias("__n"))
     # rows of one id have the copies of each in some order; those of equal size are interchangeable
-    by_id = taken.groupBy("__id", "__size").agg(F.sum("__n").alias("__n"), F.count("*").alias("__rows"))
+    by_id = taken.groupBy("__id", "__size").agg(F.sum("__n").alias("__n"), F.count("*").alias("__rows")).filter("__n > 0")
     sized = docs.withColumn("__size", mixing.word_count(F.col("text")).cast("long"))
     out = sized.join(by_id, F.col("doc_id").eqNullSafe(F.col("__id")) & (sized["__size"] == by_id["__size"]))
-    times = F.ceil(F.col("__n") / F.col("__rows")).cast("int")
-    copies = out.filter(F.col("__n") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times)))
-    return copies.select(*[docs[c] for c in docs.columns])
+    # the copies are dealt evenly to rows that share id and size: the first few of them get one more
+    place = F.row_number().over(Window.partitionBy("__id", by_id["__size"]).orderBy(F.xxhash64("text")))
+    many = out.filter("__rows > 1").withColumn("__n", F.floor(F.col("__n") / F.col("__rows")) + (place <= F.col("__n") % F.col("__rows")).cast("int"))
+    both = out.filter("__rows = 1").select(*docs.columns, "__n").unionByName(many.select(*docs.columns, "__n"))
+    copies = both.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
+    return copies.select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,6 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i == len(STAGES) - 1:
             return out
         path = fresh_path(spark, f"stage-{name}")
-        out.write.parquet(path)
+        with no_shuffles_left(spark):
+            out.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
