@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +89,33 @@ class Scratch:
                 drop_path(self.spark, path)
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept_by(name: str, clear: Callable[[], None]) -> None:
+    """``clear`` empties what the operator ``name`` keeps in a worker process from task to task."""
+    _KEPT[name] = clear
+
+
+def claim_worker(name: str) -> None:
+    """A worker keeps the caches of one operator at a time: free those of the others, and give free memory back."""
+    import pyarrow
+
+    for other, clear in _KEPT.items():
+        if other != name:
+            clear()
+    pyarrow.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches cut into smaller ones, so that few texts at once are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path that ``fresh_path`` gave, on whatever file system it lies."""
     jvm = spark.sparkContext._jvm

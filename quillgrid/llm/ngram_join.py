@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, claim_worker, kept_by, slices, table
 from .components import components
 
 WORDS, NUM, DEN = 5, 80, 100  # links: DEN * overlap >= NUM * union
@@ -73,6 +73,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+kept_by("ngram_join", _WORDS.clear)
 
 
 def word_hashes(text: str | bytes | None) -> np.ndarray:
@@ -176,8 +177,9 @@ def _describe(documents: DataFrame, fragments: int, id_col: str, text_col: str)
     """A row for every document, and rows of n-grams (with ``f``) for every chunk and fragment of the hash space."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("ngram_join")
         number, chunk = TaskContext.get().partitionId() << 24, _Chunk()
-        for batch in batches:
+        for batch in slices(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 chunk.add(i, text)
                 if chunk.full():
@@ -207,6 +209,7 @@ def _seen_elsewhere(blobs: DataFrame, fragments: int) -> DataFrame:
     sums = pa.schema([("node", pa.int64()), ("c", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("ngram_join")
         for _, held in _by_key(batches):
             grams = np.zeros((sum(len(g) for _, g, _ in held) // 6, 8), np.uint8)
             grams[:, :6] = np.frombuffer(b"".join(g for _, g, _ in held), np.uint8).reshape(-1, 6)
@@ -258,14 +261,13 @@ def _sets(documents: DataFrame, alive: DataFrame, id_col: str, text_col: str) ->
     """node, n, grams of the sets in ``alive`` (d1, d2, cid, node)."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 256):
-                sets = [gram_set(t) for t in texts[at : at + 256]]
-                keys = [digest(s) for s in sets]
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int64)
-                grams = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), grams], names=["d1", "d2", "grams"])
+        claim_worker("ngram_join")
+        for batch in slices(batches, 256):
+            sets = [gram_set(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            keys = [digest(s) for s in sets]
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int64)
+            grams = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), grams], names=["d1", "d2", "grams"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text"))
     rows = rows.join(_small(alive.select("cid").distinct()), "cid", "left_semi").select("text")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import held_out, table
+from .common import claim_worker, held_out, table
 from .labelled import TRAIN_ROWS, training_ids, training_rows
 
 MOD, REST = 3, 1
@@ -158,8 +158,10 @@ class AdditiveModel:
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
-def _features(texts: pd.Series) -> pd.Series:
-    return texts.map(features)
+def _features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    claim_worker("quality")
+    for texts in batches:
+        yield texts.map(features)
 
 
 def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveModel:
@@ -176,6 +178,7 @@ def with_quality(documents: DataFrame, model: AdditiveModel, text_col: str = "te
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim_worker("quality")
         for texts in batches:
             yield pd.Series(model.score(matrix(texts)))
 

@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, no_shuffles_left, table
+from .common import claim_worker, fresh_path, kept_by, no_shuffles_left, table
 
 WIDTH, SEGMENT, END_ID, DIRECTORY = 8, 1 << 20, 0, 512
-CACHED_WORDS, BLOCK = 500_000, 1 << 23  # pieces kept by a worker; bytes of text encoded at once
+CACHED_WORDS, BLOCK = 300_000, 6 << 20  # pieces kept by a worker; bytes of text encoded at once
 BROADCAST_SEGMENTS = 200_000
 MAGIC = b"DAC1"
 MARKS = string.punctuation  # ASCII characters that are neither letters, digits nor white space
@@ -170,6 +170,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+kept_by("token_file", _ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -274,6 +275,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, id_col: str =
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("token_file")
         enc, part, seq = encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
         ids, offsets, held, n = [], [0], [], 0
@@ -325,6 +327,7 @@ def document_digests(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the segments."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("token_file")
         for batch in batches:
             for i in range(batch.num_rows):
                 start, ids, offsets, codes = (c[i] for c in batch.columns)
