@@ -114,12 +114,9 @@ def sorted_boxes(boxes: np.ndarray) -> list[int]:
     """By y and x, then one pass that swaps neighbours of one line whose x are in the wrong order."""
     o = sorted(range(len(boxes)), key=lambda i: (boxes[i][1], boxes[i][0], i))
     for i in range(len(o) - 1):
-        for j in range(i, -1, -1):
-            a, b = boxes[o[j]], boxes[o[j + 1]]
-            if abs(b[1] - a[1]) < 10 and b[0] < a[0]:
-                o[j], o[j + 1] = o[j + 1], o[j]
-            else:
-                break
+        a, b = boxes[o[i]], boxes[o[i + 1]]
+        if abs(b[1] - a[1]) < 10 and b[0] < a[0]:
+            o[i], o[i + 1] = o[i + 1], o[i]
     return o
 
 
@@ -251,7 +248,14 @@ class Tree:
         self.tag, self.colspan, self.rowspan, self.content, self.kids = tag, colspan, rowspan, content or [], []
 
 
-class TableParser(HTMLParser):
+class Markup(HTMLParser):
+    """Reads any markup: unknown declarations count as comments."""
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
+
+class TableParser(Markup):
     """Tree of the first table; a cell keeps its content as characters and tags."""
 
     def __init__(self):
@@ -266,7 +270,7 @@ class TableParser(HTMLParser):
             return
         if tag in ("table", "thead", "tbody", "tr", "td", "th"):
             a = dict(attrs)
-            num = lambda k: int(a[k]) if (a.get(k) or "").isdigit() else 1
+            num = lambda k: int(a[k]) if (a.get(k) or "").isdecimal() else 1
             node = Tree(tag, num("colspan"), num("rowspan"))
             if self.stack:
                 self.stack[-1].kids.append(node)
@@ -318,18 +322,16 @@ def tree_distance(a: Tree, b: Tree, cost: Callable[[Tree, Tree], float]) -> floa
     """Edit distance of ordered trees by key roots."""
 
     def flat(t):
-        nodes, first = [], []
-
-        def visit(n):
-            start = None
-            for k in n.kids:
-                s = visit(k)
-                start = s if start is None else start
-            nodes.append(n)
-            first.append(len(nodes) - 1 if start is None else start)
-            return first[-1]
-
-        visit(t)
+        # each node after its children, with the place of its first leaf
+        nodes, first, stack = [], [], [(t, None)]
+        while stack:
+            n, begin = stack.pop()
+            if begin is None and n.kids:
+                stack.append((n, len(nodes)))
+                stack.extend((kid, None) for kid in reversed(n.kids))
+            else:
+                nodes.append(n)
+                first.append(len(nodes) - 1 if begin is None else begin)
         return nodes, first, sorted({f: i for i, f in enumerate(first)}.values())
 
     (na, fa, ka), (nb, fb, kb) = flat(a), flat(b)
@@ -356,12 +358,21 @@ def tree_distance(a: Tree, b: Tree, cost: Callable[[Tree, Tree], float]) -> floa
     return d[-1][-1]
 
 
+def _in_order(t: Tree) -> Iterator[tuple[Tree, int]]:
+    """Nodes with their depths, each before its children."""
+    stack = [(t, 0)]
+    while stack:
+        n, depth = stack.pop()
+        yield n, depth
+        stack.extend((kid, depth + 1) for kid in reversed(n.kids))
+
+
 def count_nodes(t: Tree) -> int:
-    return 1 + sum(map(count_nodes, t.kids))
+    return sum(1 for _ in _in_order(t))
 
 
-def _shape(t: Tree) -> tuple:
-    return t.tag, t.colspan, t.rowspan, tuple(map(_shape, t.kids))
+def _shape(t: Tree) -> list[tuple]:
+    return [(depth, n.tag, n.colspan, n.rowspan) for n, depth in _in_order(t)]
 
 
 def teds(pred: str, true: str, structure_only: bool = False) -> float:
@@ -375,8 +386,12 @@ def teds(pred: str, true: str, structure_only: bool = False) -> float:
 
 
 def bracket(t: Tree) -> str:
-    own = f'"tag": {t.tag}, "colspan": {t.colspan}, "rowspan": {t.rowspan}, "text": {t.content}' if t.tag == "td" else f'"tag": {t.tag}'
-    return "{" + own + "".join(map(bracket, t.kids)) + "}"
+    out, depth = [], 0
+    for n, d in _in_order(t):
+        own = f'"tag": {n.tag}, "colspan": {n.colspan}, "rowspan": {n.rowspan}, "text": {n.content}' if n.tag == "td" else f'"tag": {n.tag}'
+        out.append("}" * (depth - d) + "{" + own)
+        depth = d + 1
+    return "".join(out) + "}" * depth
 
 
 # text
@@ -406,7 +421,7 @@ def digits_to_chinese(n: int) -> str:
     return out[1:] if out.startswith("一十") else out
 
 
-class _Text(HTMLParser):
+class _Text(Markup):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []

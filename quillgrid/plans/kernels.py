@@ -33,22 +33,22 @@ def _kept(choose):
 
 @query("hard_nms", "SRT-28 SRT-37")
 def hard_nms(spark, sf):
-    return k.per_group(relation(spark, sf, "fx_pages"), ["page"], _kept(lambda p, b, s: k.greedy_nms(b, s, 0.3, candidates=200)), LAY)
+    return k.per_group(relation(spark, sf, "fx_layout"), ["page"], _kept(lambda p, b, s: k.greedy_nms(b, s, 0.3, candidates=200)), LAY)
 
 
 @query("multiclass_nms", "SRT-29..33 SRT-38..39")
 def multiclass_nms(spark, sf):
-    return k.per_group(relation(spark, sf, "fx_pages"), ["page"], _kept(lambda p, b, s: k.multiclass_nms(b, s, p["label"].to_numpy(), 20, 0.3)), LAY)
+    return k.per_group(relation(spark, sf, "fx_layout"), ["page"], _kept(lambda p, b, s: k.multiclass_nms(b, s, p["label"].to_numpy(), 20, 0.3)), LAY)
 
 
 @query("nms_inter_classes", "SRT-40")
 def nms_inter_classes(spark, sf):
-    return k.per_group(relation(spark, sf, "fx_pages"), ["page"], _kept(lambda p, b, s: k.greedy_nms(b, s, 0.3, smaller=True)), LAY)
+    return k.per_group(relation(spark, sf, "fx_layout"), ["page"], _kept(lambda p, b, s: k.greedy_nms(b, s, 0.3, smaller=True)), LAY)
 
 
 @query("rotated_nms", "SRT-41")
 def rotated_nms(spark, sf):
-    return k.per_group(relation(spark, sf, "fx_pages"), ["page"], _kept(lambda p, b, s: k.rotated_nms(b, s, s * 0.03)), LAY)
+    return k.per_group(relation(spark, sf, "fx_layout"), ["page"], _kept(lambda p, b, s: k.rotated_nms(b, s, s * 0.03)), LAY)
 
 
 @query("sorted_boxes", "SRT-02 SRT-06")
@@ -58,7 +58,7 @@ def sorted_boxes(spark, sf):
         order = k.sorted_boxes(b)
         return pd.DataFrame({"seq": pdf["seq"].to_numpy()[order], "pos": range(len(order))})
 
-    return k.per_group(relation(spark, sf, "fx_pages"), ["page"], f, "page long, seq long, pos int")
+    return k.per_group(relation(spark, sf, "fx_layout"), ["page"], f, "page long, seq long, pos int")
 
 
 @query("snap_corners", "SRT-20")
@@ -78,7 +78,7 @@ def snap_corners(spark, sf):
                 free[at] = np.inf
         return pd.DataFrame(rows, columns=["seq", "x", "y"])
 
-    return k.per_group(relation(spark, sf, "fx_pages"), ["page"], f, "page long, seq long, x double, y double")
+    return k.per_group(relation(spark, sf, "fx_layout"), ["page"], f, "page long, seq long, x double, y double")
 
 
 @query("text_edges", "WIN-09..15")
@@ -200,18 +200,18 @@ def polygon_cover(spark, sf):
 
     def f(a1, b1, a2, b2, c1, d1, c2, d2):
         q = lambda x1, y1, x2, y2: [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
-        return pd.Series([round(k.covered_share(q(*r[:4]), q(*r[4:])), 6) for r in zip(a1, b1, a2, b2, c1, d1, c2, d2)])
+        return pd.Series([k.covered_share(q(*r[:4]), q(*r[4:])) for r in zip(a1, b1, a2, b2, c1, d1, c2, d2)])
 
     u = F.pandas_udf(f, DoubleType())
-    return relation(spark, sf, "boxes").select("id", u("ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2").alias("v"))
+    return relation(spark, sf, "boxes").select("id", F.round(u("ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2"), 6).alias("v"))
 
 
 @query("model_stage", "UDF-01..04 UDF-11..14 RAS-01")
 def model_stage(spark, sf):
     """The seam for decoders and models: a registered function on batches of rows, here a stub that counts characters."""
-    from ..operators.seam import STAGES, run_stage
+    from ..operators.seam import register, run_stage
 
-    STAGES.setdefault("stub", lambda rows: [(r[0], float(len(r[1] or ""))) for r in rows])
+    register("stub", lambda rows: [(r[0], float(len(r[1] or ""))) for r in rows])
     return run_stage(relation(spark, sf, "pages").select("page_id", "html"), "stub", "page_id long, score double")
 
 

@@ -27,11 +27,9 @@ RELATIONS: dict[str, tuple[list[str], str]] = {
     "fx_gt": (["fx_cells"], """SELECT table_id, cell_id AS seq, x1, y1, x2, y2, col_idx AS c0, col_idx AS c1, row_idx AS r0, row_idx AS r1 FROM fx_cells"""),
     "fx_pred": (["fx_cells"], """SELECT table_id, cell_id AS seq, x1 + (pk*7+col_idx) % 9 - 4 AS x1, y1 + (sk*5+col_idx) % 5 - 2 AS y1, x2 + (pk*3+col_idx) % 9 - 4 AS x2, y2 + (sk*3+col_idx) % 5 - 2 AS y2, col_idx AS c0, col_idx AS c1, row_idx + CASE WHEN (pk+col_idx) % 13 = 0 THEN 1 ELSE 0 END AS r0, row_idx + CASE WHEN (pk+col_idx) % 13 = 0 THEN 1 ELSE 0 END AS r1 FROM fx_cells WHERE (pk+sk+col_idx) % 17 <> 0"""),
     "fx_seg": (["fx_rows"], """SELECT table_id, row_idx AS seq, (pk % 3)*100 AS x0, (pk % 3)*100 + 100 + (sk % 4)*100 AS x1, row_idx*20 + pk % 3 - 1 AS y FROM fx_rows"""),
-    "fx_layout": (["part", "supplier"], """SELECT s_suppkey AS page, p_partkey AS seq, CASE p_partkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' WHEN 2 THEN 'text' ELSE 'title' END AS label, (p_partkey*37) % 100 AS score_pct, p_partkey % 50 * 10 AS x1, p_partkey % 70 * 10 AS y1, p_partkey % 50 * 10 + 40 + p_size AS x2, p_partkey % 70 * 10 + 20 + p_size AS y2 FROM part JOIN supplier ON p_partkey % 10 = s_suppkey % 10 WHERE s_suppkey < 20"""),
+    "fx_layout": (["part", "supplier"], """SELECT s_suppkey AS page, p_partkey AS seq, CASE p_partkey % 7 % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' WHEN 2 THEN 'text' ELSE 'title' END AS label, (p_partkey*37) % 100 AS score_pct, p_partkey % 50 * 10 AS x1, p_partkey % 70 * 10 AS y1, p_partkey % 50 * 10 + 40 + p_size AS x2, p_partkey % 70 * 10 + 20 + p_size AS y2 FROM part JOIN supplier ON p_partkey % 10 = s_suppkey % 10"""),
     "fx_html": (["fx_cells"], """SELECT table_id, cell_id, row_idx, col_idx, concat('<td', CASE WHEN pk % 4 = 0 THEN concat(' colspan="', CAST(pk % 3 + 1 AS STRING), '"') ELSE '' END, CASE WHEN sk % 5 = 0 THEN concat(' rowspan="', CAST(sk % 4 + 1 AS STRING), '"') ELSE '' END, '>', CASE WHEN (pk + col_idx) % 3 = 0 THEN concat('<b>', CAST(pk AS STRING), '</b>') ELSE CAST(sk AS STRING) END, '</td>') AS td FROM fx_cells"""),
 }
-#: every supplier as a page; ``fx_layout`` has the first 20 only and is what the oracles of its queries read
-RELATIONS["fx_pages"] = (["part", "supplier"], RELATIONS["fx_layout"][1].removesuffix(" WHERE s_suppkey < 20"))
 
 
 def _order(names: list[str]) -> list[str]:
