@@ -165,13 +165,6 @@ def text_needs_rotation_90(spark, sf):
     return relation(spark, sf, "boxes").groupBy("grp").agg(r("a").alias("by_box"), r("b").alias("by_other"))
 
 
-@query("text_needs_rotation", "AGG-26", """SELECT p_partkey, length(regexp_replace(p_name, '[a-m]', '', 'g')) / nullif(CAST(length(p_name) AS DOUBLE), 0) < length(regexp_replace(p_type, '[a-m]', '', 'g')) / nullif(CAST(length(p_type) AS DOUBLE), 0) AS v FROM part""")
-def text_needs_rotation(spark, sf):
-    """The share of characters outside a class in one text is below that in the other."""
-    share = lambda x: F.length(F.regexp_replace(x, "[a-m]", "")) / F.nullif(F.length(x).cast("double"), d(0))
-    return relation(spark, sf, "part").select("p_partkey", (share("p_name") < share("p_type")).alias("v"))
-
-
 @query("get_rotation", "AGG-27", """SELECT grp, CASE WHEN count(*) FILTER (ax2 - ax1 > ay2 - ay1) >= count(*) FILTER (score_pct < 60) THEN '' WHEN count(*) FILTER (frac > 10) > count(*) FILTER (frac <= 10) THEN 'anticlockwise' ELSE 'clockwise' END AS v FROM boxes GROUP BY grp""", uses="boxes")
 def get_rotation(spark, sf):
     """None unless fewer lines are level than upright; then the sign of most characters, a tie is clockwise."""

@@ -46,7 +46,7 @@ scalar("image_filters", "SRC-12 SRC-15..16 SNK-27", "boxes", "id", lambda: {"kep
        {"kept": "least(ax2 - ax1, ay2 - ay1) > 8 AND k > 100 AND k / ((ax2 - ax1) * (ay2 - ay1) * 3) > 0.1", "page": "ax2 - ax1 >= 30"})
 
 
-@query("is_imaged_document", "SRC-20..23", """WITH p AS (SELECT grp, row_idx, count(*) FILTER (score_pct < 3) = 0 AND count(*) FILTER (score_pct > 90) > 0 AS scanned FROM boxes GROUP BY grp, row_idx)
+@query("is_imaged_document", "", """WITH p AS (SELECT grp, row_idx, count(*) FILTER (score_pct < 3) = 0 AND count(*) FILTER (score_pct > 90) > 0 AS scanned FROM boxes GROUP BY grp, row_idx)
 SELECT grp, bool_and(scanned) AS all_pages, bool_or(scanned) FILTER (row_idx <= 2) AS first_pages FROM p GROUP BY grp""", uses="boxes")
 def is_imaged_document(spark, sf):
     """A page without text but with images is scanned; a document if all its pages are."""

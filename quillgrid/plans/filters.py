@@ -274,5 +274,5 @@ _s("is_text_cell", "FIL-56", lambda: c("label") == "text", "label = 'text'", bas
 _s("is_line_cell_model", "FIL-57", lambda: c("p_type").isin("LineCell", "LineCellPdf"), "p_type IN ('LineCell', 'LineCellPdf')", base="part", keys="p_partkey")
 _s("add_box_to_image", "FIL-58", lambda: {"x1": F.when((c("by1") >= c("ay1") - 3) & (c("by2") <= c("ay2") + 3) & (c("bx1") < c("ax1")) & (c("bx2") > c("ax1") - 10), c("ax1")).when((c("bx1") >= c("ax1") - 10) & (c("bx2") <= c("ax2") + 10) & (c("by1") >= c("ay1") - 3) & (c("by2") <= c("ay2") + 3), c("bx1"))},
    {"x1": "CASE WHEN by1 >= ay1 - 3 AND by2 <= ay2 + 3 AND bx1 < ax1 AND bx2 > ax1 - 10 THEN ax1 WHEN bx1 >= ax1 - 10 AND bx2 <= ax2 + 10 AND by1 >= ay1 - 3 AND by2 <= ay2 + 3 THEN bx1 END"})
-_s("cells_to_merge", "FIL-62..65 WIN-46..47", lambda: {"by_column": ~((c("score_pct") % 2 == 0) & (c("score_pct") % 3 == 0)), "by_row": ~((c("score_pct") % 5 == 0) & (c("score_pct") % 7 == 0))},
+_s("cells_to_merge", "", lambda: {"by_column": ~((c("score_pct") % 2 == 0) & (c("score_pct") % 3 == 0)), "by_row": ~((c("score_pct") % 5 == 0) & (c("score_pct") % 7 == 0))},
    {"by_column": "NOT (score_pct % 2 = 0 AND score_pct % 3 = 0)", "by_row": "NOT (score_pct % 5 = 0 AND score_pct % 7 = 0)"})

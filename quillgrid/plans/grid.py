@@ -60,7 +60,7 @@ def snap_to_grid(spark, sf):
     return relation(spark, sf, "fx_pred").groupBy("table_id").agg(F.count_if(F.abs(c("x1") - at * 100) > 3).alias("moved_x"), F.count_if(at != c("c0")).alias("wrong_col"))
 
 
-@query("json_fields", "SRC-27..28 RAS-34 RAS-44", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+@query("json_fields", "", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def json_fields(spark, sf):
     """Fields of JSON rows by a given schema."""
     return relation(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))

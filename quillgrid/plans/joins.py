@@ -45,7 +45,7 @@ _BEST = f"""best AS (SELECT table_id, seq, cell_id AS cell, inside, text FROM (S
  FROM fx_text t JOIN fx_cells c ON t.table_id = c.table_id) WHERE rn = 1)"""
 
 
-@query("find_top1_mach_box", "JOI-04..05 JOI-22..24", f"WITH {_BEST} SELECT table_id, seq, cell, inside FROM best", uses="fx_text fx_cells")
+@query("find_top1_mach_box", "JOI-04..05", f"WITH {_BEST} SELECT table_id, seq, cell, inside FROM best", uses="fx_text fx_cells")
 def find_top1_mach_box(spark, d):
     return j.best_cell(_text(spark, d), _cells(spark, d), K)
 
@@ -186,7 +186,7 @@ def cells_in_line_pair(spark, d):
     return relation(spark, d, "fx_cells").filter("x1 >= 98 AND x2 <= 302").select("table_id", "cell_id", r.alias("pos"))
 
 
-@query("split_text_cell", "JOI-32..39", """WITH ch AS (SELECT table_id, seq, i, substr(text, i + 1, 1) AS ch, CAST(floor((x0 + (i + 0.5e0) * (x1 - x0) / CAST(length(text) AS DOUBLE)) / 100) AS BIGINT) AS col FROM fx_text, unnest(range(length(text))) u(i)),
+@query("split_text_cell", "", """WITH ch AS (SELECT table_id, seq, i, substr(text, i + 1, 1) AS ch, CAST(floor((x0 + (i + 0.5e0) * (x1 - x0) / CAST(length(text) AS DOUBLE)) / 100) AS BIGINT) AS col FROM fx_text, unnest(range(length(text))) u(i)),
 f AS (SELECT *, CASE WHEN col BETWEEN 0 AND 3 THEN col END AS own FROM ch),
 g AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY table_id, seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS cell FROM f)
 SELECT table_id, seq, cell, string_agg(ch, '' ORDER BY i) AS text FROM g GROUP BY table_id, seq, cell""", uses="fx_text")
@@ -212,7 +212,7 @@ def table_index(spark, d):
     return t.select("table_id", "seq", F.floor((c("y0") + c("y1")) / 2.0 / 20).alias("row_idx"), best["col"].alias("col"), (-best["s"] + 0.0).alias("share"))
 
 
-@query("cell_line_mark", "JOI-46 JOI-48 WIN-37", """WITH m AS (SELECT table_id, max(row_idx) AS r FROM fx_cells GROUP BY table_id)
+@query("cell_line_mark", "", """WITH m AS (SELECT table_id, max(row_idx) AS r FROM fx_cells GROUP BY table_id)
 SELECT c.table_id, c.cell_id, c.row_idx = 0 OR pk % 3 = 0 AS top, c.row_idx = m.r OR sk % 3 = 0 AS bottom, c.col_idx = 0 OR pk % 2 = 0 AS is_left, c.col_idx = 3 OR sk % 2 = 0 AS is_right FROM fx_cells c JOIN m ON m.table_id = c.table_id""", uses="fx_cells")
 def cell_line_mark(spark, d):
     """The outer border of the table is always there."""

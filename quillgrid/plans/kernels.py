@@ -206,7 +206,7 @@ def polygon_cover(spark, sf):
     return relation(spark, sf, "boxes").select("id", F.round(u("ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2"), 6).alias("v"))
 
 
-@query("model_stage", "UDF-01..04 UDF-11..14 RAS-01")
+@query("model_stage", "RAS-01")
 def model_stage(spark, sf):
     """The seam for decoders and models: a registered function on batches of rows, here a stub that counts characters."""
     from ..operators.seam import register, run_stage

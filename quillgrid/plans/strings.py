@@ -168,7 +168,7 @@ _h("clean_html_table_width", "STR-75", lambda: t.without_width(F.expr(_WIDE)), f
 _h("remove_html_table_text", "STR-76", lambda: F.regexp_replace("td", ">[^<>]*</td>", ">测试</td>"), "regexp_replace(td, '>[^<>]*</td>', '>测试</td>', 'g')")
 scalar("process_show_html", "STR-62", "documents", "doc_id", lambda: F.md5(F.concat(F.lit("<xmp>"), F.regexp_replace("text", r"(?s)(.{50})(?=.)", "$1\n"), F.lit("</xmp>"))), "md5(concat('<xmp>', array_to_string(list_transform(range(0, length(text), 50), lambda i: substr(text, CAST(i AS INT) + 1, 50)), chr(10)), '</xmp>'))")
 _OPS = "CASE grp % 4 WHEN 0 THEN 'equal,replace11,equal' WHEN 1 THEN 'equal,delete10,equal' WHEN 2 THEN 'equal,insert01,equal' ELSE 'equal' END"
-scalar("analysis_diff_result", "STR-64", "boxes", "id", lambda: {"fixed": F.when(F.expr(_OPS) == "equal,delete10,equal", "MISSING").when(F.expr(_OPS) == "equal,replace11,equal", "GARBLED").otherwise("DIFF"), "compat": F.when(F.expr(_OPS).isin("equal,delete10,equal", "equal,replace11,equal"), "MISSING").otherwise("DIFF")},
+scalar("analysis_diff_result", "", "boxes", "id", lambda: {"fixed": F.when(F.expr(_OPS) == "equal,delete10,equal", "MISSING").when(F.expr(_OPS) == "equal,replace11,equal", "GARBLED").otherwise("DIFF"), "compat": F.when(F.expr(_OPS).isin("equal,delete10,equal", "equal,replace11,equal"), "MISSING").otherwise("DIFF")},
        {"fixed": "CASE grp % 4 WHEN 0 THEN 'GARBLED' WHEN 1 THEN 'MISSING' ELSE 'DIFF' END", "compat": "CASE WHEN grp % 4 < 2 THEN 'MISSING' ELSE 'DIFF' END"})
 _DIFFS = """WITH w AS (SELECT p_partkey, p_name AS a, p_type AS b FROM part), ca AS (SELECT p_partkey, ch, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(a, '')) AS ch FROM w) WHERE ch <> '' GROUP BY ALL), cb AS (SELECT p_partkey, ch, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(b, '')) AS ch FROM w) WHERE ch <> '' GROUP BY ALL),
 d AS (SELECT coalesce(ca.p_partkey, cb.p_partkey) AS p_partkey, coalesce(ca.n, 0) - coalesce(cb.n, 0) AS diff FROM ca FULL JOIN cb ON ca.p_partkey = cb.p_partkey AND ca.ch = cb.ch), s AS (SELECT p_partkey, sum(diff) AS diff_len, count(*) FILTER (diff <> 0) AS diff_char FROM d GROUP BY p_partkey)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from .plans.relations import RELATIONS, cte, relation
 
 FLAGSHIP = "text_to_cell_html"
-MODULES = ("projections", "filters", "joins", "aggregates", "folds", "sorts", "strings", "files", "grid", "kernels")
+MODULES = ("projections", "filters", "joins", "placement", "aggregates", "folds", "sorts", "strings", "files", "grid", "kernels")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 COVERAGE: dict[str, list[str]] = {}
