@@ -53,15 +53,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def no_shuffles_left(spark: SparkSession):
-    """Shuffle files of the jobs inside go as soon as a job is done, not when the driver collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, **values: str):
+    """Session settings (``__`` for a dot) for the jobs inside; then as they were."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def no_shuffles_left(spark: SparkSession):
+    """Shuffle files of the jobs inside go as soon as a job is done, not when the driver collects garbage."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

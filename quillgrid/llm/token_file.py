@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim_worker, fresh_path, kept_by, no_shuffles_left, table
+from .common import claim_worker, fresh_path, kept_by, no_shuffles_left, settings, table
 
 WIDTH, SEGMENT, END_ID, DIRECTORY = 8, 1 << 20, 0, 512
-CACHED_WORDS, BLOCK = 300_000, 6 << 20  # pieces kept by a worker; bytes of text encoded at once
-BROADCAST_SEGMENTS = 200_000
+CACHED_WORDS, BLOCK = 500_000, 1 << 23  # pieces kept by a worker; bytes of text encoded at once
+BROADCAST_SEGMENTS, BATCH_ROWS = 200_000, 4096
 MAGIC = b"DAC1"
 MARKS = string.punctuation  # ASCII characters that are neither letters, digits nor white space
 
@@ -304,7 +304,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, id_col: str =
     keyed = rows.withColumn("row", F.monotonically_increasing_id())
     ordered = keyed.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row")
     files = ordered.select("id", "text").mapInArrow(encode, SCHEMA).write
-    with no_shuffles_left(spark):
+    with no_shuffles_left(spark), settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
         # plain bytes, so that codes can be read in place
         files.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
