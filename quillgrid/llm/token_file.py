@@ -107,14 +107,14 @@ class Encoder:
         new = [s for s, k in todo.items() if k not in recent and s.isalpha()]
         found = self._each([space + s for s in new] if space else new)
         recent.update(zip([lead + s for s in new] if lead else new, [before + i for i in found] if before else found))
+        odd = []
         for p, s, k in zip(pieces, stems, keys):
-            if p is s:
-                if k not in recent:
-                    recent[k] = before + self.whole(space + p)
-            elif s.isalpha():
+            if p is not s and s.isalpha():
                 recent[lead + p] = recent[k] + self.tails.of(p[len(s) :], self.whole)
-            else:
-                recent[lead + p] = before + self.whole(space + p)
+            elif p is not s or k not in recent:
+                odd.append(p)
+        for p, e in zip(odd, self.tokenizer.encode_batch_fast([space + p for p in odd], add_special_tokens=False)):
+            recent[lead + p] = before + np.array(e.ids, "<u4").tobytes()
 
     def _ids_of(self, pieces: list[str]) -> list[bytes | None]:
         """Ids of distinct pieces; None where one may not be encoded apart."""
@@ -146,21 +146,26 @@ class Encoder:
         # a line break in front makes the first word a piece like the others; before it is an empty piece
         lines = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
         cut = pc.split_pattern(lines, " ")
-        first = cut.offsets.to_numpy()[:-1].astype(np.int64)
+        first = cut.offsets.to_numpy()[:-1]
         pieces = pc.dictionary_encode(cut.flatten())
-        at, distinct = pieces.indices.to_numpy().astype(np.int64), pieces.dictionary.to_pylist()
-        known = self._ids_of(distinct)
-        n = np.array([-1 if i is None else len(i) // 4 for i in known], np.int64)
-        bad = n < 0
-        n[bad] = 0
-        flat, start = np.frombuffer(b"".join([i for i in known if i]), "<u4"), np.cumsum(n) - n
+        at = pieces.indices.to_numpy()
+        known = self._ids_of(pieces.dictionary.to_pylist())
+        bad = np.zeros(len(known), bool)
+        if None in known:
+            bad = np.array([i is None for i in known])
+            known = [i or b"" for i in known]
+        # offsets of 32 bits: a block has far fewer tokens
+        n = np.fromiter(map(len, known), np.int32, len(known)) >> 2
+        flat, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(n, dtype=np.int32) - n
         here, source = n[at], start[at]
         bad = bad[at]
         bad[first] = False
         source[first + 1] += 1  # without the added line break
         here[first + 1] -= ~bad[first + 1]
-        ends = np.cumsum(here)
-        ids = flat[np.repeat(source - (ends - here), here) + np.arange(ends[-1])].tobytes()
+        ends = np.cumsum(here, dtype=np.int32)
+        places = np.repeat(source - (ends - here), here)
+        places += np.arange(ends[-1], dtype=np.int32)
+        ids = flat.take(places).tobytes()
         apart |= np.add.reduceat(bad, first) > 0
         stops = [0, *(4 * ends[np.append(first[1:], len(at)) - 1]).tolist()]
         return [self.whole(texts[j].as_py()) if w else ids[a:b] for j, (w, a, b) in enumerate(zip(apart.tolist(), stops, stops[1:]))]
