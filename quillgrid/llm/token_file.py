@@ -33,7 +33,7 @@ from .common import claim_worker, fresh_path, kept_by, no_shuffles_left, setting
 
 WIDTH, SEGMENT, END_ID, DIRECTORY = 8, 1 << 20, 0, 512
 CACHED_WORDS, BLOCK = 500_000, 1 << 23  # pieces kept by a worker; bytes of text encoded at once
-BROADCAST_SEGMENTS, BATCH_ROWS = 200_000, 4096
+BROADCAST_SEGMENTS, BATCH_ROWS = 200_000, 8192
 MAGIC = b"DAC1"
 MARKS = string.punctuation  # ASCII characters that are neither letters, digits nor white space
 
