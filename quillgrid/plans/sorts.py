@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..registry import query, scalar
-from .relations import relation
+from .relations import Layout, relation
 
 c = F.col
 d = lambda v: F.lit(float(v))
@@ -92,23 +92,31 @@ def merge_outputs(spark, sf):
 _CENTRE_IN = "(i.x1 + i.x2) / 2e0 > j.x1 AND (i.x1 + i.x2) / 2e0 < j.x2 AND (i.y1 + i.y2) / 2e0 > j.y1 AND (i.y1 + i.y2) / 2e0 < j.y2"
 
 
-def _in_better(spark, sf, better):
-    lay = relation(spark, sf, "fx_layout")
-    i, j = lay.alias("i"), lay.alias("j")
+def _not_in_better(spark, sf, earlier):
+    """Boxes whose centre lies in no box of a higher score, or none before them.
+
+    Boxes of one place, size and score are compared once: of those that hold a centre the first one's seq is kept.
+    """
+    lay = Layout(spark, sf)
+    side = ["page", "x1", "y1", "x2", "y2", "score_pct"]
+    boxes = lay.once.groupBy(*side).agg(F.min("seq").alias("first"))
+    i, j = boxes.alias("i"), boxes.alias("j")
     x, y = (c("i.x1") + c("i.x2")) / 2.0, (c("i.y1") + c("i.y2")) / 2.0
-    on = (c("i.page") == c("j.page")) & (x > c("j.x1")) & (x < c("j.x2")) & (y > c("j.y1")) & (y < c("j.y2")) & better
-    return i.join(j, on, "left_anti").select("page", "seq")
+    on = (c("i.page") == c("j.page")) & (x > c("j.x1")) & (x < c("j.x2")) & (y > c("j.y1")) & (y < c("j.y2")) & (c("j.score_pct") > c("i.score_pct"))
+    held = i.join(j, on).groupBy(*[c(f"i.{n}") for n in side]).agg(F.min("j.first").alias("better"))
+    hit = (c("better") < c("seq")) if earlier else c("better").isNotNull()
+    return lay.on_pages(lay.once.join(held, side, "left").filter(~F.coalesce(hit, F.lit(False))).select("page", "seq"))
 
 
 @query("suppress_by_earlier", "SRT-19", f"SELECT page, seq FROM fx_layout i WHERE NOT exists(SELECT 1 FROM fx_layout j WHERE j.page = i.page AND j.seq < i.seq AND j.score_pct > i.score_pct AND {_CENTRE_IN})", uses="fx_layout")
 def suppress_by_earlier(spark, sf):
     """Only earlier boxes are compared."""
-    return _in_better(spark, sf, (c("j.seq") < c("i.seq")) & (c("j.score_pct") > c("i.score_pct")))
+    return _not_in_better(spark, sf, True)
 
 
 @query("suppress_by_score", "SRT-21", f"SELECT page, seq FROM fx_layout i WHERE NOT exists(SELECT 1 FROM fx_layout j WHERE j.page = i.page AND j.score_pct > i.score_pct AND {_CENTRE_IN})", uses="fx_layout")
 def suppress_by_score(spark, sf):
-    return _in_better(spark, sf, c("j.score_pct") > c("i.score_pct"))
+    return _not_in_better(spark, sf, False)
 
 
 @query("score_filter_default", "SRT-24", "SELECT grp, id FROM boxes WHERE score_pct > 95 UNION ALL SELECT grp, 0 AS id FROM (SELECT DISTINCT grp FROM boxes) g WHERE NOT exists(SELECT 1 FROM boxes b WHERE b.grp = g.grp AND b.score_pct > 95)", uses="boxes")
