@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import re
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path, shared_dir  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,27 +30,6 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(mod) == F.lit(rest), F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only on a single machine (master ``local``, as in tests) is a local folder used where none is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "/tmp/checkpoints"
-        os.makedirs(found, exist_ok=True)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/quillgrid/{name}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def settings(spark: SparkSession, **values: str):
     """Session settings (``__`` for a dot) for the jobs inside; then as they were."""

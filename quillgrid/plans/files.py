@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..registry import query, scalar
+from ..session import fresh_path
 from ..sources import readers, writers
 from .relations import relation
 
@@ -28,9 +31,18 @@ SELECT id, depth FROM r WHERE kind = 'char'""")
 def text_object_tree(spark, sf):
     """Objects of one kind at any depth of a tree."""
     n = relation(spark, sf, "part").select(c("p_partkey").alias("id"), F.floor(c("p_partkey") / 3).alias("parent"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'char' WHEN 1 THEN 'image' ELSE 'line' END").alias("kind"))
-    n.createOrReplaceTempView("quillgrid_tree")
-    return spark.sql("""WITH RECURSIVE r(id, kind, depth) AS (SELECT id, kind, 0 FROM quillgrid_tree WHERE id = (SELECT min(id) FROM quillgrid_tree)
-      UNION ALL SELECT n.id, n.kind, r.depth + 1 FROM r JOIN quillgrid_tree n ON n.parent = r.id AND n.id > r.id) SELECT id, depth FROM r WHERE kind = 'char'""")
+    level = n.join(n.agg(F.min("id").alias("root")), c("id") == c("root")).select("id", "kind")
+    found, depth = [], 0
+    while True:  # a level is written before the next is looked for, whatever its size
+        path = fresh_path(spark, "tree")
+        level.write.parquet(path)
+        level = spark.read.schema("id long, kind string").parquet(path)
+        if level.isEmpty():
+            break
+        found.append(level.filter("kind = 'char'").select("id", F.lit(depth).alias("depth")))
+        level = n.join(level.select(c("id").alias("up")), (c("parent") == c("up")) & (c("id") > c("up"))).select("id", "kind")
+        depth += 1
+    return reduce(DataFrame.unionByName, found) if found else level.select("id", F.lit(0).alias("depth"))
 
 
 @query("block_text_metrics", "SRC-13..14", """WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
