@@ -17,6 +17,7 @@ are read.  An empty table gives an empty file set and no rows; extra columns are
 from __future__ import annotations
 
 import json
+import os
 import string
 import struct
 import zlib
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import claim_worker, fresh_path, kept_by, no_shuffles_left, settings, table
 
 WIDTH, SEGMENT, END_ID, DIRECTORY = 8, 1 << 20, 0, 512
-CACHED_WORDS, BLOCK = 500_000, 1 << 23  # pieces kept by a worker; bytes of text encoded at once
-BROADCAST_SEGMENTS, BATCH_ROWS = 200_000, 8192
+CACHED_WORDS, BLOCK = 250_000, 1 << 22  # pieces kept by a worker; bytes of text encoded at once
+BROADCAST_SEGMENTS, BATCH_ROWS = 200_000, 4096
 MAGIC = b"DAC1"
 MARKS = string.punctuation  # ASCII characters that are neither letters, digits nor white space
 
@@ -63,11 +64,13 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)  # the model is shared; words hold no added tokens
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        how = json.loads(self.tokenizer.to_str())
-        how = (how["normalizer"], how["post_processor"], how["pre_tokenizer"] or {})
-        self.cuttable = how[:2] == (None, None) and how[2].get("type") == "ByteLevel" and how[2]["use_regex"] and not how[2]["add_prefix_space"]
+        cut = self.tokenizer.pre_tokenizer
+        how = json.loads(cut.__getstate__()) if cut else {}
+        plain = self.tokenizer.normalizer is None and self.tokenizer.post_processor is None
+        self.cuttable = plain and how.get("type") == "ByteLevel" and how["use_regex"] and not how["add_prefix_space"]
         # for pieces that the pattern would not cut: the same but for the pattern
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -181,6 +184,7 @@ kept_by("token_file", _ENCODERS.clear)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and vocabulary."""
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would hold memory of their own
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
