@@ -16,6 +16,7 @@ are read.  An empty table gives an empty file set and no rows; extra columns are
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import string
@@ -33,111 +34,130 @@ from pyspark.sql import functions as F
 from .common import claim_worker, fresh_path, kept_by, no_shuffles_left, settings, table
 
 WIDTH, SEGMENT, END_ID, DIRECTORY = 8, 1 << 20, 0, 512
-CACHED_WORDS, BLOCK = 250_000, 1 << 22  # pieces kept by a worker; bytes of text encoded at once
+CACHED_WORDS, BLOCK = 100_000, 1 << 22  # stems kept by a worker; bytes of text encoded at once
 BROADCAST_SEGMENTS, BATCH_ROWS = 200_000, 4096
 MAGIC = b"DAC1"
 MARKS = string.punctuation  # ASCII characters that are neither letters, digits nor white space
-
-
-class Tails(dict):
-    """Ids of runs of marks; the short ones are kept, which are few."""
-
-    def of(self, tail: str, encode: Callable[[str], bytes]) -> bytes:
-        out = self.get(tail)
-        if out is None:
-            out = encode(tail)
-            if len(tail) <= 3:
-                self[tail] = out
-        return out
+MARKS_APART, JOINED = 3, 50  # marks that may be cut from a stem; stems given to the tokenizer at once
+MARK, PLAIN = np.zeros(256, np.int32), np.zeros(256, bool)
+MARK[list(MARKS.encode())] = np.arange(1, len(MARKS) + 1)
+PLAIN[list((string.ascii_letters + string.digits).encode())] = True
+SPACES = r"[\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # all white space, and more
 
 
 class Encoder:
-    """Ids of texts by a byte-level tokenizer, with the pieces between spaces kept once they are encoded.
+    """Ids of texts by a byte-level tokenizer, with the stems between spaces kept once they are encoded.
 
     The tokenizer's pattern never joins a space to what stands before it, nor a single line break to
     anything, so a text may be cut before both where no other white space follows.  A piece is a word after
-    a space, or a line break with the word after it.  New words of a block of texts are encoded in one
-    call.  Texts with other white space, or with the content of an added token, are
-    encoded whole.
+    a space, or a line break with the word after it.  Up to three marks at its end are apart for the pattern
+    if a letter or digit stands before them; what is left is a stem.  One dictionary holds the stems kept and
+    those of a block of texts, so no stem is looked up alone and only the new ones become Python objects.
+    Texts with other white space, or with the content of an added token, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Tokenizer(self.tokenizer.model)  # the model is shared; words hold no added tokens
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         cut = self.tokenizer.pre_tokenizer
         how = json.loads(cut.__getstate__()) if cut else {}
         plain = self.tokenizer.normalizer is None and self.tokenizer.post_processor is None
         self.cuttable = plain and how.get("type") == "ByteLevel" and how["use_regex"] and not how["add_prefix_space"]
-        # for pieces that the pattern would not cut: the same but for the pattern
-        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character of a token stands for a byte
-        self.line = self.whole("\n")
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails = Tails()
+        # the characters that stand for the bytes; stems that the pattern would not cut are given in them, one after another
+        plainly = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = iter(range(256, 512))
+        self.letters = "".join(chr(b if b in plainly else next(others)) for b in range(256))
+        self.words, self.lines = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)  # the model is shared; they hold no added tokens
+        self.words.pre_tokenizer = pre_tokenizers.Split(self.letters[32], "merged_with_next")
+        self.lines.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
+        # stems, where their ids lie in the pool, and the last block they were in
+        self.stems = pa.array([], pa.string())
+        self.n, self.start, self.used = (np.zeros(0, np.int32) for _ in range(3))
+        self.bad, self.pool, self.block = np.zeros(0, bool), np.zeros(0, "<u4"), 0
+        # the same of marks, by their code; code 0 is none
+        self.tail_n, self.tail_start = np.full(33**MARKS_APART, -1, np.int32), np.zeros(33**MARKS_APART, np.int32)
+        self.tail_n[0], self.tail_pool = 0, np.zeros(0, "<u4")
 
     def whole(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         # the same ids as those of encode(); only the offsets of tokens, which nobody asks for, are not made
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        """Ids of each of ``words``: letters with or without a space before them."""
-        if not words:
-            return []
-        ids = np.array(self.words.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+    def _each(self, tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``words``, and the number of ids of each."""
+        ends = np.cumsum(pc.binary_length(words).to_numpy(), dtype=np.int64)
+        # a character stands for a byte, so the words lie in the text as they do in the array
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "")[0].as_buffer().to_pybytes().decode("latin-1").translate(self.letters)
+        stops = [0, *ends[JOINED - 1 : -1 : JOINED].tolist(), len(text)]
+        found = [e.ids for e in tokenizer.encode_batch_fast([text[a:b] for a, b in zip(stops, stops[1:])], add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(found), "<u4", sum(map(len, found)))
         # a word ends where the bytes of the tokens so far are those of the words so far
-        bounds = np.flatnonzero(np.frombuffer("\n".join([*words, ""]).encode(), np.uint8) == 10) - np.arange(len(words))
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), bounds) + 1
-        raw, ends = ids.tobytes(), (4 * ends).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _learn(self, pieces: list[str], space: str, before: bytes, lead: str) -> None:
-        """Keep the ids of those of ``pieces`` that may be encoded apart: with ``space`` in front and behind the ids ``before``, as lead + piece."""
-        recent, older = self.recent, self.older
-        if " ".join(pieces).split() != pieces:  # some are empty or hold white space
-            pieces = [p for p in pieces if p.split() == [p]]
-        # letters and the marks behind them are apart for the tokenizer, so most pieces with marks need no call
-        stems = [p.rstrip(MARKS) for p in pieces]
-        keys = [lead + s for s in stems] if lead else stems
-        todo = {s: k for s, k in zip(stems, keys) if k not in recent}
-        recent.update([(k, older[k]) for s, k in todo.items() if k in older])
-        new = [s for s, k in todo.items() if k not in recent and s.isalpha()]
-        found = self._each([space + s for s in new] if space else new)
-        recent.update(zip([lead + s for s in new] if lead else new, [before + i for i in found] if before else found))
-        odd = []
-        for p, s, k in zip(pieces, stems, keys):
-            if p is not s and s.isalpha():
-                recent[lead + p] = recent[k] + self.tails.of(p[len(s) :], self.whole)
-            elif p is not s or k not in recent:
-                odd.append(p)
-        for p, e in zip(odd, self.tokenizer.encode_batch_fast([space + p for p in odd], add_special_tokens=False)):
-            recent[lead + p] = before + np.array(e.ids, "<u4").tobytes()
-
-    def _ids_of(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of distinct pieces; None where one may not be encoded apart."""
-        if len(self.recent) > CACHED_WORDS:  # the frequent come back from the older ones
-            self.recent, self.older = {}, self.recent
-        recent, older = self.recent, self.older.get
-        ids = list(map(recent.get, pieces))
-        absent = [j for j, i in enumerate(ids) if i is None]
-        new = []
-        for j in absent:
-            p = pieces[j]
-            if (i := older(p)) is None:
-                new.append(p)
-            else:
-                recent[p] = i
-        self._learn([p for p in new if p[:1] != "\n"], " ", b"", "")
-        self._learn([p[1:] for p in new if p[:1] == "\n"], "", self.line, "\n")
-        for j in absent:
-            ids[j] = recent.get(pieces[j])
-        return ids
+        return ids, np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Keep the ids of stems that follow those kept so far."""
+        lines = pc.starts_with(new, "\n")
+        words = pc.ascii_ltrim(new, characters="\n")
+        lines, sizes = lines.to_numpy(zero_copy_only=False), pc.binary_length(words).to_numpy()
+        one = pc.or_(pc.utf8_is_alpha(words), pc.ascii_is_decimal(words)).to_numpy(zero_copy_only=False)
+        n, start, bad = np.zeros(len(new), np.int32), np.zeros(len(new), np.int32), np.zeros(len(new), bool)
+        pools, at = [self.pool], len(self.pool)
+
+        def keep(which: np.ndarray, ids: np.ndarray, each: np.ndarray) -> None:
+            nonlocal at
+            n[which], start[which] = each, at + np.cumsum(each) - each
+            pools.append(ids)
+            at += len(ids)
+
+        for tokenizer, which, lead in ((self.words, one & ~lines, " "), (self.lines, one & lines, "\n")):
+            which = np.flatnonzero(which)
+            if len(which):
+                keep(which, *self._each(tokenizer, pc.binary_join_element_wise(lead, words.take(which), "")))
+        odd = np.flatnonzero(~one)
+        if len(odd):
+            spaced = (sizes[odd] == 0) | pc.match_substring_regex(words.take(odd), SPACES).to_numpy(zero_copy_only=False)
+            bad[odd[spaced]] = True
+            odd = odd[~spaced]
+            line = np.frombuffer(self.whole("\n"), "<u4").tolist()
+            texts = [w if after else " " + w for w, after in zip(words.take(odd).to_pylist(), lines[odd])]
+            found = [line + e.ids if after else e.ids for e, after in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), lines[odd])]
+            keep(odd, np.fromiter(itertools.chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int32, len(found)))
+        self.n, self.start, self.bad = np.append(self.n, n), np.append(self.start, start), np.append(self.bad, bad)
+        self.used, self.pool = np.append(self.used, np.zeros(len(new), np.int32)), np.concatenate(pools)
+
+    def _forget(self) -> None:
+        """Keep those of the stems that were used last."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: CACHED_WORDS // 2])
+        n = self.n[kept]
+        ends = np.cumsum(n, dtype=np.int32)
+        self.pool = self.pool[np.repeat(self.start[kept] - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)]
+        self.stems, self.n, self.start, self.used, self.bad = self.stems.take(pa.array(kept)), n, ends - n, self.used[kept], self.bad[kept]
+
+    def _stems(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Stems of ``pieces`` and the codes of the marks behind them."""
+        offsets, data = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :][: len(pieces) + 1], pieces.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        trimmed = pc.ascii_rtrim(pieces, characters=MARKS)
+        size = pc.binary_length(trimmed).to_numpy()
+        tail = np.diff(offsets) - size
+        last = np.minimum(offsets[:-1] + np.maximum(size, 1) - 1, len(data) - 1)
+        apart = (size > 0) & (tail <= MARKS_APART) & PLAIN[data[last]]
+        code = np.zeros(len(pieces), np.int32)
+        for k in range(MARKS_APART):
+            some = np.flatnonzero(apart & (tail > k))
+            code[some] += 33**k * MARK[data[offsets[some] + size[some] + k]]
+        unknown = np.unique(code[self.tail_n[code] < 0])
+        for c in unknown.tolist():
+            marks = "".join(MARKS[c // 33**k % 33 - 1] for k in range(MARKS_APART) if c // 33**k)
+            ids = np.frombuffer(self.whole(marks), "<u4")
+            self.tail_n[c], self.tail_start[c] = len(ids), len(self.tail_pool)
+            self.tail_pool = np.append(self.tail_pool, ids)
+        return (trimmed if apart[tail > 0].all() else pc.if_else(pa.array(apart), trimmed, pieces)), code
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text (no nulls)."""
@@ -149,29 +169,36 @@ class Encoder:
         # a line break in front makes the first word a piece like the others; before it is an empty piece
         lines = pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n")
         cut = pc.split_pattern(lines, " ")
+        del lines
         first = cut.offsets.to_numpy()[:-1]
-        pieces = pc.dictionary_encode(cut.flatten())
-        at = pieces.indices.to_numpy()
-        known = self._ids_of(pieces.dictionary.to_pylist())
-        bad = np.zeros(len(known), bool)
-        if None in known:
-            bad = np.array([i is None for i in known])
-            known = [i or b"" for i in known]
-        # offsets of 32 bits: a block has far fewer tokens
-        n = np.fromiter(map(len, known), np.int32, len(known)) >> 2
-        flat, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(n, dtype=np.int32) - n
-        here, source = n[at], start[at]
-        bad = bad[at]
+        stems, code = self._stems(cut.flatten())
+        del cut
+        if len(self.stems) > CACHED_WORDS:
+            self._forget()
+        here = pa.chunked_array([self.stems, stems]).dictionary_encode().chunks[-1]
+        self.stems, at = here.dictionary, here.indices.to_numpy()
+        del here, stems
+        if len(self.stems) > len(self.n):
+            self._learn(self.stems.slice(len(self.n)))
+        self.block += 1
+        self.used[at] = self.block
+        bad = self.bad[at]
         bad[first] = False
-        source[first + 1] += 1  # without the added line break
-        here[first + 1] -= ~bad[first + 1]
+        # offsets of 32 bits: a block has far fewer tokens.  A piece has the ids of its stem, then those of its marks
+        here, source = np.empty((len(at), 2), np.int32), np.empty((len(at), 2), np.int32)
+        here[:, 0], source[:, 0] = self.n[at], self.start[at]
+        here[:, 1], source[:, 1] = self.tail_n[code], self.tail_start[code] + len(self.pool)
+        source[first + 1, 0] += 1  # without the added line break
+        here[first + 1, 0] -= ~bad[first + 1]
+        here, source = here.reshape(-1), source.reshape(-1)
         ends = np.cumsum(here, dtype=np.int32)
-        places = np.repeat(source - (ends - here), here)
+        source -= ends - here
+        places = np.repeat(source, here)
         places += np.arange(ends[-1], dtype=np.int32)
-        ids = flat.take(places).tobytes()
+        ids = memoryview(np.concatenate([self.pool, self.tail_pool]).take(places)).cast("B")
         apart |= np.add.reduceat(bad, first) > 0
-        stops = [0, *(4 * ends[np.append(first[1:], len(at)) - 1]).tolist()]
-        return [self.whole(texts[j].as_py()) if w else ids[a:b] for j, (w, a, b) in enumerate(zip(apart.tolist(), stops, stops[1:]))]
+        stops = [0, *(4 * ends[2 * np.append(first[1:], len(at)) - 1].astype(np.int64)).tolist()]
+        return [self.whole(texts[j].as_py()) if w else bytes(ids[a:b]) for j, (w, a, b) in enumerate(zip(apart.tolist(), stops, stops[1:]))]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all(pa.array([text], pa.string()))[0]

@@ -583,6 +583,39 @@ def test_encoder_blocks(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in e.encode_all(pa.array(texts, pa.string()))] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@given(st.lists(st.text(alphabet="aéZ1½,.'-#%st—…\u0301\x00\x7f \n\t\u00a0\u200b漢", max_size=14), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_encoder_marks(texts):
+    """Marks behind stems of all kinds, and few stems kept."""
+    e = token_file.encoder(token_file.vocabulary_path())
+    before, token_file.CACHED_WORDS = token_file.CACHED_WORDS, 8
+    try:
+        got = [np.frombuffer(b, "<u4").tolist() for b in e.encode_all(pa.array(texts, pa.string()))]
+    finally:
+        token_file.CACHED_WORDS = before
+    assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_characters():
+    """Every character in a word, alone and before a mark."""
+    e = token_file.encoder(token_file.vocabulary_path())
+    texts = [f"a{c} {c}, {c}a\n{c}" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and (ord(c) < 0x3400 or ord(c) % 61 == 0)]
+    got = e.encode_all(pa.array(texts, pa.string()))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [x.ids for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_encoder_keeps_no_objects():
+    """New words cost a worker neither time nor memory for Python objects of their own."""
+    import sys
+
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(60_000)]
+    e = token_file.Encoder(token_file.vocabulary_path())
+    texts = pa.array([" ".join(words)], pa.string())
+    before = sys.getallocatedblocks()
+    n = len(e.encode_all(texts)[0])
+    assert n > 4 * len(words) and sys.getallocatedblocks() - before < len(words)
+
+
 def test_tokens_read_in_place(spark, docs, tmp_path):
     """Single tokens from the written files, by range reads of a few bytes."""
     ensure_workers(spark)
